@@ -46,7 +46,7 @@ def stratum(size: Column) -> Column:
     return F.length(digits) * 10 + F.substring(digits, 1, 1).cast("int")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, with_source: bool = False) -> DataFrame:
     """How often each document is taken: (doc_id, size, source_size, target, copies, taken).
 
     Every document of a source is expected ``target / source_size`` times. The documents of a
@@ -85,4 +85,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     ranked = placed.join(cells, ["k", "stratum", "salt"]).withColumn("rank", rank)
     crossed = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
     copies = F.least(crossed, F.ceil("rate")).cast("long")
-    return ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    extra = ["source"] if with_source else []
+    return ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *extra)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it.
+
+    Rows that repeat an id share out that id's copies of like size and source: each is taken as often as its own
+    place in the order says.
+    """
+    names = docs.columns
+    place = Window.partitionBy("_id", "_source", "_size").orderBy(*(c for c in names if c not in (id_col, source_col)))
+    taken = mix(docs, id_col, source_col, text_col, with_source=True, **how).select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
+    per_row = materialize(taken.groupBy("_i", "_s", "_z").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "mix-copies")
+    keyed = docs.withColumns({"_id": F.col(id_col), "_source": F.col(source_col), "_size": word_count(F.col(text_col))})
+    same = keyed["_id"].eqNullSafe(per_row["_i"]) & keyed["_source"].eqNullSafe(per_row["_s"]) & (keyed["_size"] == per_row["_z"])
+    joined = keyed.join(per_row, same)
+    # Alike rows take turns: the first ones get one copy more where the sum isn't a multiple.
+    single = joined.where("_rows = 1").withColumn("_n", F.col("_copies"))
+    several = joined.where("_rows > 1").withColumn("_rn", F.row_number().over(place))
+    several = several.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_rn") <= F.col("_copies") % F.col("_rows")).cast("long"))
+    both = single.select(*names, "_n").unionByName(several.select(*names, F.col("_n").cast("long").alias("_n")))
+    return both.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*names)

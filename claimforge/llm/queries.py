@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from claimforge.llm.common import table
 from claimforge.llm.cuckoo import exact_groups
+from claimforge.llm.jaccard import similar_groups
+from claimforge.llm.knn import nearest
 from claimforge.llm.license import license_scan
+from claimforge.llm.linedup import site_line_dedup
 from claimforge.llm.mixing import mix
 from claimforge.llm.packing import pack
+from claimforge.llm.quality import fit, score
 from claimforge.llm.urlfilter import judge
 from claimforge.llm.warc import read_archives, write_archives
 from claimforge.operators.storage import scratch_path
@@ -33,15 +37,34 @@ def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op6_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op7_block_join_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = site_line_dedup(table(spark, sf_dir, "pages"))
+    return cleaned.select("page_id", "site", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisit, op2_redirect_equivalence, op3_source_mixing, op4_best_two_fit, op6_cuckoo_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisit, op2_redirect_equivalence, op3_source_mixing, op4_best_two_fit, op5_ngram_jaccard, op6_cuckoo_dedup, op7_block_join_knn, op8_site_lines, op9_weak_label_quality, op10_license_scan)}
 
 SQL = {
     "op3_source_mixing": r"""
