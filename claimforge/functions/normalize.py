@@ -57,6 +57,16 @@ def composed(x: Column) -> Column:
     return F.when(F.rlike(x, F.lit(r"[^\x00-\x7F]")), nfc(x)).otherwise(x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once and written once in the plan, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def good(outcome: Column) -> Column:
+    """The value of a normalizer's outcome, null when it failed."""
+    return let(outcome, lambda r: F.when(r["ok"], r["value"]))
+
+
 def result(value: Column, ok: Column, note: Column, kind: str = "string") -> Column:
     return F.struct(F.when(ok, value).cast(kind).alias("value"), ok.alias("ok"), note.cast("string").alias("note"))
 
@@ -72,9 +82,12 @@ def lookup(table: dict[str, object], key: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
 
-def _or_empty(value: Column) -> Column:
-    ok = F.coalesce(value != "", F.lit(False))
-    return result(value, ok, F.when(~ok, F.lit("empty")))
+def _or_empty(text: Column) -> Column:
+    def body(value: Column) -> Column:
+        ok = F.coalesce(value != "", F.lit(False))
+        return result(value, ok, F.when(~ok, F.lit("empty")))
+
+    return let(text, body)
 
 
 def text_unicode(x: Column) -> Column:
@@ -88,16 +101,15 @@ def name(x: Column) -> Column:
 def email(x: Column) -> Column:
     """The scheme goes before the angle brackets do, so a scheme inside brackets stays."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(clean(x)), "^mailto:", ""), "^[<>]+|[<>]+$", "")
-    ok = F.coalesce(F.rlike(bare, F.lit(rf"^[^@{SPACES}]+@[^@{SPACES}]+\.[^@{SPACES}]+\z")), F.lit(False))
-    return result(bare, ok, F.when(~ok, F.lit("invalid_email")))
 
+    def body(v: Column) -> Column:
+        ok = F.coalesce(F.rlike(v, F.lit(rf"^[^@{SPACES}]+@[^@{SPACES}]+\.[^@{SPACES}]+\z")), F.lit(False))
+        return result(v, ok, F.when(~ok, F.lit("invalid_email")))
 
-def phone_e164(x: Column) -> Column:
-    """E.164 by shape: North American numbers, or ``+`` and 8 to 15 digits.
+    return let(bare, body)
 
-    No metadata of numbering plans is at hand, so unassigned area codes pass, and letters or extensions do not.
-    """
-    text = clean(x)
+
+def _phone_e164(text: Column) -> Column:
     digits = F.regexp_replace(text, "[^0-9]", "")
     shaped = F.rlike(text, F.lit(r"^[+(]?[0-9(][0-9 ().\-/]*\z"))
     plus = F.startswith(text, F.lit("+"))
@@ -106,12 +118,18 @@ def phone_e164(x: Column) -> Column:
     abroad = F.when(F.rlike(digits, F.lit("^[2-9][0-9]{7,14}$")), F.concat(F.lit("+"), digits))
     value = F.when(shaped, F.when(plus & ~F.startswith(digits, F.lit("1")), abroad).otherwise(american))
     note = F.when(text == "", F.lit("empty")).when(~F.coalesce(shaped, F.lit(False)) | (F.length(digits) < 2), F.lit("unparseable_phone")).when(value.isNull(), F.lit("invalid_phone"))
-    return result(value, value.isNotNull(), F.coalesce(note, F.when(x.isNull(), F.lit("empty"))))
+    return result(value, value.isNotNull(), F.coalesce(note, F.when(text.isNull(), F.lit("empty"))))
 
 
-def date_ym(x: Column) -> Column:
-    """``YYYY-MM``, or ``YYYY`` noted as year_only; words for the present are good and have no value."""
-    low = F.lower(clean(x))
+def phone_e164(x: Column) -> Column:
+    """E.164 by shape: North American numbers, or ``+`` and 8 to 15 digits.
+
+    No metadata of numbering plans is at hand, so unassigned area codes pass, and letters or extensions do not.
+    """
+    return let(clean(x), _phone_e164)
+
+
+def _date_ym(low: Column) -> Column:
 
     def group(pattern: str, i: int) -> Column:
         return F.regexp_extract(low, pattern, i)
@@ -128,12 +146,20 @@ def date_ym(x: Column) -> Column:
     return result(value, ok, note)
 
 
-def country_iso2(x: Column) -> Column:
-    key = F.trim(F.replace(F.lower(clean(x)), F.lit("."), F.lit("")))
+def date_ym(x: Column) -> Column:
+    """``YYYY-MM``, or ``YYYY`` noted as year_only; words for the present are good and have no value."""
+    return let(F.lower(clean(x)), _date_ym)
+
+
+def _country_iso2(key: Column) -> Column:
     value = lookup(COUNTRIES, key)
     return result(value, value.isNotNull(), F.when(F.coalesce(key, F.lit("")) == "", F.lit("empty")).when(value.isNull(), F.lit("unknown_country")))
 
 
+def country_iso2(x: Column) -> Column:
+    return let(F.trim(F.replace(F.lower(clean(x)), F.lit("."), F.lit(""))), _country_iso2)
+
+
 def _parameter(x: Column) -> Column:
     """One ``key=value``, decoded and encoded again; null when it only tracks."""
 
@@ -148,9 +174,7 @@ def _parameter(x: Column) -> Column:
     return F.when(~tracks, F.concat(encoded(key), F.lit("="), encoded(value)))
 
 
-def url_link(x: Column) -> Column:
-    """https, host in lower case, no fragment, no tracking, no closing slashes; noted by kind of host."""
-    text = clean(x)
+def _url_link(text: Column) -> Column:
     full = F.when(F.contains(text, F.lit("://")), text).otherwise(F.concat(F.lit("https://"), text))
     pattern = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
     host = F.lower(F.regexp_extract(full, pattern, 1))
@@ -163,19 +187,30 @@ def url_link(x: Column) -> Column:
     return result(F.concat(F.lit("https://"), host, path, query), ok & (text != ""), note)
 
 
-def skill_canonical(x: Column) -> Column:
-    text = clean(x)
+def url_link(x: Column) -> Column:
+    """https, host in lower case, no fragment, no tracking, no closing slashes; noted by kind of host."""
+    return let(clean(x), _url_link)
+
+
+def _skill_canonical(text: Column) -> Column:
     known = lookup(SKILLS, F.lower(text))
     ok = F.coalesce(text != "", F.lit(False))
     return result(F.coalesce(known, text), ok, F.when(~ok, F.lit("empty")).when(known.isNull(), F.lit("non_canonical")))
 
 
-def years_experience(x: Column) -> Column:
-    number = F.nullif(F.regexp_extract(clean(x), r"-?[0-9]+(?:\.[0-9]+)?", 0), F.lit("")).cast("double")
+def skill_canonical(x: Column) -> Column:
+    return let(clean(x), _skill_canonical)
+
+
+def _years_experience(number: Column) -> Column:
     ok = F.coalesce(number.between(0.0, MOST_YEARS), F.lit(False))
     return result(number, ok, F.when(number.isNull(), F.lit("unparseable")).when(~ok, F.lit("out_of_range")), "double")
 
 
+def years_experience(x: Column) -> Column:
+    return let(F.nullif(F.regexp_extract(clean(x), r"-?[0-9]+(?:\.[0-9]+)?", 0), F.lit("")).cast("double"), _years_experience)
+
+
 REGISTRY: dict[str, Callable[[Column], Column]] = {f.__name__: f for f in (text_unicode, name, email, phone_e164, date_ym, country_iso2, url_link, skill_canonical, years_experience)}
 
 # Short names that configurations use.

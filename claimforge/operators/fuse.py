@@ -21,12 +21,8 @@ PARTS = {"location": ("city", "region", "country"), "links": ("linkedin", "githu
 WHOLE, DIRECT, PARSED = "*", "direct", "parsed"
 
 
-def _good(result: Column) -> Column:
-    return F.when(result["ok"], result["value"])
-
-
 def _text(x: Column) -> Column:
-    return _good(N.text_unicode(x))
+    return N.good(N.text_unicode(x))
 
 
 def normalized_claims(claims: DataFrame) -> DataFrame:
@@ -34,15 +30,15 @@ def normalized_claims(claims: DataFrame) -> DataFrame:
     loc, links, exp, edu = (F.col(c) for c in ("v_loc", "v_links", "v_exp", "v_edu"))
     text = F.lit(None).cast("string")
     for field, f in FIELD_NORMALIZER.items():
-        text = F.when(F.col("field") == field, _good(f(F.col("v_str")))).otherwise(text)
-    number = F.when(F.col("field") == "years_experience", F.coalesce(F.col("v_num"), _good(N.years_experience(F.col("v_str")))))
-    other = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.coalesce(links["other"], F.array().cast("array<string>")), lambda u: _good(N.url_link(u))))))
-    url = lambda part: _good(N.url_link(links[part])).alias(part)
-    date = lambda part: _good(N.date_ym(exp[part])).alias(part)
+        text = F.when(F.col("field") == field, N.good(f(F.col("v_str")))).otherwise(text)
+    number = F.when(F.col("field") == "years_experience", F.coalesce(F.col("v_num"), N.good(N.years_experience(F.col("v_str")))))
+    other = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.coalesce(links["other"], F.array().cast("array<string>")), lambda u: N.good(N.url_link(u))))))
+    url = lambda part: N.good(N.url_link(links[part])).alias(part)
+    date = lambda part: N.good(N.date_ym(exp[part])).alias(part)
     shaped = claims.withColumns({
         "n_str": text,
         "n_num": number,
-        "n_loc": F.when(loc.isNotNull(), F.struct(_text(loc["city"]).alias("city"), _text(loc["region"]).alias("region"), _good(N.country_iso2(loc["country"])).alias("country"))),
+        "n_loc": F.when(loc.isNotNull(), F.struct(_text(loc["city"]).alias("city"), _text(loc["region"]).alias("region"), N.good(N.country_iso2(loc["country"])).alias("country"))),
         "n_links": F.when(links.isNotNull(), F.struct(url("linkedin"), url("github"), url("portfolio"), other.alias("other"))),
         "n_exp": F.when(exp.isNotNull(), F.struct(_text(exp["company"]).alias("company"), _text(exp["title"]).alias("title"), date("start"), date("end"), _text(exp["summary"]).alias("summary"))),
         "n_edu": F.when(edu.isNotNull(), F.struct(_text(edu["institution"]).alias("institution"), _text(edu["degree"]).alias("degree"), _text(edu["field"]).alias("field"), edu["end_year"].alias("end_year"))),
@@ -105,20 +101,26 @@ def adjudicated(found: Column) -> Column:
     a fixed penalty off the winner, and what then stays under the gate is withheld.
     """
     ranked = F.array_sort(F.transform(found, lambda c: F.struct((-c["score"]).alias("s"), c["priority"].alias("p"), c["value"].alias("v"), c["number"].alias("n"), c["most"].alias("m"), c["origins"].alias("o"))))
+    return N.let(ranked, _decided)
+
+
+def _decided(ranked: Column) -> Column:
     best, rest = F.get(ranked, F.lit(0)), F.slice(ranked, 2, F.greatest(F.size(ranked), F.lit(1)))
-    score = F.when(F.exists(rest, lambda c: c["m"] >= HIGH_TRUST), F.greatest(F.lit(0.0), -best["s"] - PENALTY)).otherwise(-best["s"])
-    withheld = F.coalesce(score < GATE, F.lit(False))
-    everyone = F.flatten(F.transform(ranked, lambda c: c["o"]))
-    others = F.flatten(F.transform(rest, lambda c: c["o"]))
-    nobody = F.slice(everyone, 1, 0)
-    return F.struct(
-        F.when(~withheld, best["v"]).alias("value"),
-        F.when(~withheld, best["n"]).alias("number"),
-        F.coalesce(score, F.lit(0.0)).alias("confidence"),
-        withheld.alias("withheld"),
-        F.when(withheld | (F.size(ranked) == 0), nobody).otherwise(best["o"]).alias("winners"),
-        F.when(withheld, everyone).otherwise(others).alias("losers"),
-    )
+    penalized = F.when(F.exists(rest, lambda c: c["m"] >= HIGH_TRUST), F.greatest(F.lit(0.0), -best["s"] - PENALTY)).otherwise(-best["s"])
+    origins = lambda cells_: F.flatten(F.transform(cells_, lambda c: c["o"]))
+
+    def outcome(score: Column) -> Column:
+        withheld = F.coalesce(score < GATE, F.lit(False))
+        return F.struct(
+            F.when(~withheld, best["v"]).alias("value"),
+            F.when(~withheld, best["n"]).alias("number"),
+            F.coalesce(score, F.lit(0.0)).alias("confidence"),
+            withheld.alias("withheld"),
+            F.when(withheld | (F.size(ranked) == 0), F.slice(origins(ranked), 1, 0)).otherwise(best["o"]).alias("winners"),
+            F.when(withheld, origins(ranked)).otherwise(origins(rest)).alias("losers"),
+        )
+
+    return N.let(penalized, outcome)
 
 
 def _entries(kind: str, struct: str, sort_by: tuple[Column, ...], found: Column) -> Column:

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.functions.normalize import email, phone_e164, url_link
+from claimforge.functions.normalize import email, good, phone_e164, url_link
 from claimforge.operators.components import connected_components
 from claimforge.operators.storage import materialize
 
 
-def _value(result: Column) -> Column:
-    return F.when(result["ok"], result["value"])
-
-
 def claim_keys(claims: DataFrame) -> DataFrame:
     """(record_id, kind, key), distinct: what each record can be matched by."""
     links = F.col("v_links")
@@ -23,9 +19,9 @@ def claim_keys(claims: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), value.alias("key"))
 
     found = (
-        F.when(F.col("field") == "emails", F.array(keyed("email", _value(email(F.col("v_str"))))))
-        .when(F.col("field") == "phones", F.array(keyed("phone", _value(phone_e164(F.col("v_str"))))))
-        .when(F.col("field") == "links", F.transform(urls, lambda u: keyed("url", _value(url_link(u)))))
+        F.when(F.col("field") == "emails", F.array(keyed("email", good(email(F.col("v_str"))))))
+        .when(F.col("field") == "phones", F.array(keyed("phone", good(phone_e164(F.col("v_str"))))))
+        .when(F.col("field") == "links", F.transform(urls, lambda u: keyed("url", good(url_link(u)))))
     )
     matched = claims.where(F.col("field").isin("emails", "phones", "links")).select("record_id", F.explode(found).alias("k"))
     return matched.select("record_id", "k.kind", "k.key").where("key is not null").distinct()

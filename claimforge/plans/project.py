@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimforge.functions.normalize import REGISTRY, normalizer_name
+from claimforge.functions.normalize import REGISTRY, good, normalizer_name
 from claimforge.plans.config import Config, FieldSpec, OnMissing, parse_path, root_field
 
 VIOLATION = "struct<path:string,reason:string,detail:string>"
@@ -64,8 +64,7 @@ def renormalized(r: Resolved, token: str) -> Resolved:
     apply = REGISTRY[which]
     kind = T.DoubleType() if which == "years_experience" else T.StringType()
     if isinstance(r.type, T.StringType):
-        done = apply(r.value)
-        return Resolved(F.when(done["ok"], done["value"]), kind)
+        return Resolved(good(apply(r.value)), kind)
     if isinstance(r.type, T.ArrayType) and isinstance(r.type.elementType, T.StringType):
         done = F.transform(r.value, apply)
         # Items that aren't strings (nulls) pass; strings that fail go.
