@@ -61,15 +61,15 @@ def routed(files: DataFrame, adapters: Iterable[Adapter] | None = None) -> DataF
 
 def read_files(spark: SparkSession, paths: list[str], handles: list[str] = ()) -> DataFrame:
     """(record_id, path, content): files in the order given, then handles as one-line sources. A missing file has no content."""
-    # The listing is the caller's own, so it is as small as the call that made it.
-    order = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "record_id long, path string")
+    # The listing is the caller's own, so it is as small as the call that made it. Spark's readers pass over empty files.
+    found = {p for p in paths if _exists(spark, p)}
+    order = spark.createDataFrame([(i, p, bytearray() if p in found else None) for i, p in enumerate(paths)], "record_id long, path string, nothing binary")
     named = spark.createDataFrame([(len(paths) + i, f"handle-{i}.github", bytearray(h, "utf-8")) for i, h in enumerate(handles)], "record_id long, path string, content binary")
-    found = [p for p in paths if _exists(spark, p)]
     if found:
-        contents = spark.read.format("binaryFile").load(sorted(set(found))).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
-        order = order.join(contents, "path", "left").select("record_id", "path", "content")
+        contents = spark.read.format("binaryFile").load(sorted(found)).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+        order = order.join(contents, "path", "left").select("record_id", "path", F.coalesce("content", "nothing").alias("content"))
     else:
-        order = order.withColumn("content", F.lit(None).cast("binary"))
+        order = order.withColumnRenamed("nothing", "content")
     return order.unionByName(named)
 
 
