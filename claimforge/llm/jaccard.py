@@ -27,6 +27,13 @@ SLICE_BITS = 18
 FRAGMENTS = 3
 #: A member at least this similar to its pivot is settled by its differences from it.
 NEAR = 0.5
+#: Buckets of at most so many members are paired directly, and their pairs held to the count of n-grams they share.
+SMALL_BUCKET = 4
+#: Bits of the filters that spare what can't matter a shuffle; beyond their size they only spare less.
+SHARED_BITS = 26
+WANTED_BITS = 25
+#: Words whose hashes a worker keeps.
+WORDS_KEPT = 250_000
 #: Rounds of pivots before what is left in a bucket is paired member by member.
 PIVOT_ROUNDS = 2
 
@@ -48,7 +55,7 @@ class Shingler:
         words = (text or "").encode().lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        if len(self._words) > 1_000_000:
+        if len(self._words) > WORDS_KEPT:
             self._words = {}
         known = self._words
         try:
@@ -149,6 +156,74 @@ def _at_least(x: float) -> int:
     return math.ceil(x - 1e-9)
 
 
+def _bitmap(values: DataFrame, bits: int, least: int) -> np.ndarray:
+    """Packed bits of the slots that ``least`` (1 or 2) of the values (int64, the first column, maybe lists) fall into.
+
+    The bits have a fixed size: every task sends its own in compressed slices, which are joined apart.
+    """
+    size = 1 << min(20, bits)
+
+    def marked(batches):
+        once, twice = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            column = batch.column(0)
+            flat = column.flatten() if pa.types.is_list(column.type) else column
+            slots, n = np.unique(_bit(flat.to_numpy(zero_copy_only=False).view(np.uint64), bits), return_counts=True)
+            twice = np.union1d(twice, np.union1d(slots[n > 1], np.intersect1d(once, slots)))
+            once = np.union1d(once, slots)
+        out = []
+        for i in np.unique(once // size).tolist():
+            packed = []
+            for slots in (once, twice):
+                here = np.zeros(size, bool)
+                here[slots[(slots >= i * size) & (slots < (i + 1) * size)] - i * size] = True
+                packed.append(zlib.compress(np.packbits(here).tobytes(), 1))
+            out.append((i, *packed))
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["slice", "once", "twice"])
+
+    def joined(pdf):
+        once, twice = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
+        for a, b in zip(pdf["once"], pdf["twice"], strict=True):
+            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
+            twice |= b | (once & a)
+            once |= a
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
+
+    schema = "slice int, once binary, twice binary"
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in values.mapInArrow(marked, schema).groupBy("slice").applyInPandas(joined, schema).select("slice", "once" if least == 1 else "twice").collect():
+        out[row[0] * size // 8 : (row[0] + 1) * size // 8] = np.frombuffer(zlib.decompress(row[1]), np.uint8)
+    return out
+
+
+def _bit(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values * _A >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _marked(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    at = _bit(values, bits)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def prefix_rows(reps: DataFrame) -> DataFrame:
+    """(gram, x, xn, central): the prefix n-grams that another class may have too.
+
+    An n-gram whose slot was hit once is in one prefix only and goes before it is shuffled.
+    """
+    shared = reps.sparkSession.sparkContext.broadcast(_bitmap(reps.select("prefix"), SHARED_BITS, 2))
+
+    def rows(batches):
+        for batch in batches:
+            lists = batch.column(3)
+            grams = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            keep = _marked(shared.value, grams.view(np.uint64), SHARED_BITS)
+            held = batch.select([0, 1, 2]).take(pa.array(owner[keep]))
+            yield pa.RecordBatch.from_arrays([pa.array(grams[keep], pa.int64()), *held.columns], ["gram", "x", "xn", "central"])
+
+    return reps.select("sig", "n", "central", "prefix").mapInArrow(rows, "gram long, x binary, xn long, central double")
+
+
 def fragments_of(docs: DataFrame, wanted: DataFrame, sketch, cuts, id_col: str, text_col: str, k: int) -> DataFrame:
     """(sig, n, frag, grams) of the classes ``wanted`` (doc_id, sig): their sets cut at the order's pivots."""
 
@@ -168,7 +243,14 @@ def fragments_of(docs: DataFrame, wanted: DataFrame, sketch, cuts, id_col: str,
                     parts.append(g[frag == f].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(ns, pa.int64()), pa.array(frags, pa.int32()), pa.array(parts, pa.binary())], ["sig", "n", "frag", "grams"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.xxhash64("doc_id")), WANTED_BITS, 1))
+
+    @F.pandas_udf("boolean")
+    def maybe(hashes: pd.Series) -> pd.Series:
+        return pd.Series(_marked(bits.value, hashes.to_numpy(np.int64).view(np.uint64), WANTED_BITS))
+
+    # Only texts that may be wanted leave the scan.
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(maybe(F.xxhash64("_id")))
     chosen = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"])).select("_text", "sig")
     return chosen.mapInArrow(cut, "sig binary, n long, frag int, grams binary")
 
@@ -250,9 +332,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # One row per class and n-gram of its prefix; a class's rows are taken from any one of its documents.
     alone = sets.where("sig is not null").join(classes.where("members > 1"), "sig", "left_anti").select("sig", "n", "central", "prefix")
     shared = sets.join(classes.where("members > 1"), "sig").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("sig", "n", "central", "prefix").dropDuplicates(["sig"])
-    rows = alone.unionByName(shared).select(F.explode("prefix").alias("gram"), F.col("sig").alias("x"), F.col("n").alias("xn"), "central")
+    reps = materialize(alone.unionByName(shared), "gram-reps")
+    rows = materialize(prefix_rows(reps), "gram-rows")
+    sizes = materialize(rows.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), "gram-sizes")
+    rows = materialize(rows.join(sizes, "gram"), "gram-shared")
+
+    def link(done: DataFrame, pairs: DataFrame) -> DataFrame:
+        seen = compared(pairs, _segments(docs, pairs, classes, sketch, cuts, id_col, text_col, k))
+        return _joined(done, seen.where(_linked(F.col("o"), F.col("pn"), F.col("xn"), percent)).select(F.col("p").alias("a"), F.col("x").alias("b")))
 
     done = spark.createDataFrame([], "node binary, component binary")
+    pairs = materialize(_small_pairs(rows.where(F.col("size") <= SMALL_BUCKET), percent), "gram-small")
+    if pairs.count():
+        done = link(done, pairs)
+    rows = rows.where(F.col("size") > SMALL_BUCKET).select("gram", "x", "xn", "central")
     for _ in range(PIVOT_ROUNDS):
         pivot = F.max(F.struct("central", F.col("x"), "xn")).alias("pivot")
         pivots = rows.groupBy("gram").agg(F.count("*").alias("size"), pivot).where("size > 1").select("gram", F.col("pivot.x").alias("p"), F.col("pivot.xn").alias("pn"))
@@ -269,8 +362,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = held.join(other, "gram").where(F.col("p") < F.col("x")).where("comp <> pcomp").where(_fits(F.col("pn"), F.col("xn"), percent))
     rest = materialize(rest.select("p", "pn", "x", "xn").distinct(), "gram-rest")
     if rest.count():
-        seen = compared(rest, _segments(docs, rest, classes, sketch, cuts, id_col, text_col, k))
-        done = _joined(done, seen.where(_linked(F.col("o"), F.col("pn"), F.col("xn"), percent)).select(F.col("p").alias("a"), F.col("x").alias("b")))
+        done = link(done, rest)
 
     components = done.select(F.col("node").alias("sig"), "component")
     named = classes.join(components, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
@@ -279,6 +371,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return sets.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(grouped, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (p, pn, x, xn) of small buckets that share as many prefix n-grams as a link needs.
+
+    Up to the smaller of two prefixes' last n-grams both are whole, so the overlap is at most the shared ones
+    and what the other sets hold beyond their prefixes. A pair that also shares a large bucket is settled there.
+    """
+    members = F.array_sort(F.collect_list(F.struct("x", "xn")))
+    each = rows.groupBy("gram").agg(members.alias("m")).select(F.explode(F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, SMALL_BUCKET), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("q"))
+    counted = each.groupBy(F.col("q.a.x").alias("p"), F.col("q.a.xn").alias("pn"), F.col("q.b.x").alias("x"), F.col("q.b.xn").alias("xn")).agg(F.count("*").alias("both"))
+    needed = F.ceil((F.col("pn") + F.col("xn")) * percent / (100 + percent) - 1e-9) - F.ceil(F.greatest("pn", "xn") * percent / 100 - 1e-9) + 1
+    return counted.where(_fits(F.col("pn"), F.col("xn"), percent)).where(F.col("both") >= needed).drop("both")
+
+
 def _joined(done: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links: those so far are stars already, so few rounds are needed."""
     links = materialize(links, "gram-links")
