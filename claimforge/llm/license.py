@@ -22,7 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class Rule:
     """A signature over the words of a text joined by single spaces.
 
-    ``keyword`` must occur before the regex is tried; smaller ``priority`` wins when two rules
+    ``keyword`` must occur, in a text with a space at both ends, before the regex is tried: whatever the regex
+    matches holds it, so it spares work and loses nothing; smaller ``priority`` wins when two rules
     match the very same words; ``confidence`` is what a surviving detection says, 0 to 1.
     """
 
@@ -80,7 +81,7 @@ SINGLES = (
     ("bsd-3-clause", "bsd", r"(?:3|three) clause bsd(?: licen[sc]e)?|(?:new|modified|revised) bsd licen[sc]e|bsd 3 clause(?: licen[sc]e)?", 20, 0.95),
     ("bsd-4-clause", "bsd", r"(?:4|four) clause bsd(?: licen[sc]e)?|original bsd licen[sc]e|bsd 4 clause(?: licen[sc]e)?", 20, 0.95),
     ("0bsd", "bsd", r"(?:0|zero) clause bsd(?: licen[sc]e)?|0bsd", 20, 0.95),
-    ("bsd", "bsd licen", r"bsd(?: style)? licen[sc]e", 50, 0.8),
+    ("bsd", "bsd", r"bsd(?: style)? licen[sc]e", 50, 0.8),
     ("bsd", "redistribution and use in source", r"redistribution and use in source and binary forms with or without modification are permitted", 5, 1.0),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e", 40, 0.9),
     ("libpng", "libpng licen", r"libpng licen[sc]e", 40, 0.9),
@@ -125,7 +126,7 @@ def rules() -> tuple[Rule, ...]:
             number = v if " " in v else f"{v}(?: 0)?"
             for suffix, _, form, p, c in FORMS:
                 out.append(Rule(name + suffix, keyword, words + form.format(v=number), p, c))
-            out.append(Rule(name, f"{short} {v}", rf"{short} (?:v ?)?{number}(?! \d)", 40, 0.8))
+            out.append(Rule(name, f" {short} ", rf"{short} (?:v ?)?{number}(?! \d)", 40, 0.8))
             out.append(Rule(name, f"{short}v{v}", rf"{short}v{number}(?! \d)", 40, 0.8))
     for short, words in CC_PARTS:
         for v in CC_VERSIONS:

@@ -84,6 +84,62 @@ def test_rules_are_many_and_their_gates_let_them_pass():
         assert gate & set(text.split()), text
 
 
+def spelled(regex):
+    """All texts that a rule's regex matches, an optional part at most once."""
+    import re._parser as parser
+
+    def of(item):
+        op, arg = str(item[0]), item[1]
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "IN":
+            return [chr(a) for _, a in arg]
+        if op == "SUBPATTERN":
+            return sequence(arg[3])
+        if op == "BRANCH":
+            return [x for branch in arg[1] for x in sequence(branch)]
+        if op == "MAX_REPEAT":
+            assert tuple(arg[:2]) == (0, 1)
+            return ["", *sequence(arg[2])]
+        assert op == "ASSERT_NOT"
+        return [""]
+
+    def sequence(items):
+        out = [""]
+        for item in items:
+            out = [a + b for a in out for b in of(item)]
+        return out
+
+    return sequence(parser.parse(regex))
+
+
+def test_no_gate_stops_what_its_rule_matches():
+    for r in L.rules():
+        for text in spelled(r.regex):
+            assert r.keyword in f" {text} " and set(text.split()) & set(L.GATE_WORDS), (r, text)
+
+
+def ungated(text):
+    """Labels and score of a text when every rule's regex is tried."""
+    norm = " " + " ".join(words(text)) + " "
+    kept, far = [], 0
+    for f in sorted((m.start(), -m.end(), r.priority, r.label, r.confidence) for r in L.rules() for m in re.finditer(f"(?<= )(?:{r.regex})(?= )", norm)):
+        if -f[1] > far:
+            kept.append(f)
+            far = -f[1]
+    base = {label for p, label in L.BASE_PHRASES if f" {p} " in norm}
+    return ",".join(sorted(base | {f[3] for f in kept})), max([f[4] for f in kept] + [0.9 if base else 0.0])
+
+
+def test_scan_against_all_regexes_without_keywords(spark):
+    texts = [t for t in TEXTS if t is None or len(t) < 1000]
+    texts += ["released under the GPL v2", "GNU GPL v3", "LGPL v2.1", "Apache v2.0", "MPL v2.0", "PHP v3.01, PHP 3.01", "gpl v 2 and GPL v2.0 or EPL-v1.0", "gpl v9", "a BSD-style license", "BSD style licence"]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in L.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == ungated(text), text
+    assert got[texts.index("GNU GPL v3")] == ("gpl-3.0", 0.8) and got[texts.index("LGPL v2.1")] == ("lgpl-2.1", 0.8)
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(5)
     truth = rng.random(40_000) < 0.8
