@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.operators.components import connected_components
@@ -128,8 +128,12 @@ def _signature(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-def gram_sets(docs: DataFrame, sketch, id_col: str, text_col: str, k: int, t: float) -> DataFrame:
-    """(doc_id, n, sig, central, prefix) of every row; the prefix is what one of two similar sets must share."""
+def gram_sets(docs: DataFrame, sketch, id_col: str, text_col: str, k: int, t: float, key: Column | None = None) -> DataFrame:
+    """(doc_id, n, sig, central, prefix) of every row; the prefix is what one of two similar sets must share.
+
+    With ``key`` (a string) the rows carry it as a last column.
+    """
+    schema = "doc_id long, n long, sig binary, central double, prefix array<long>"
 
     def made(batches):
         grams, counts = _shingler(k), sketch.value
@@ -145,11 +149,13 @@ def gram_sets(docs: DataFrame, sketch, id_col: str, text_col: str, k: int, t: fl
                 centrals.append(float(np.log2(c[order] + 1.0).mean()) if len(g) else 0.0)
                 prefixes.append(g[order].view(np.int64) if len(g) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(centrals, pa.float64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n", "sig", "central", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(centrals, pa.float64()), pa.array(prefixes, pa.list_(pa.int64())), *batch.columns[2:]],
+                ["doc_id", "n", "sig", "central", "prefix", *batch.schema.names[2:]],
             )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(made, "doc_id long, n long, sig binary, central double, prefix array<long>")
+    if key is None:
+        return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(made, schema)
+    return docs.select(F.col(id_col).cast("long"), text_col, key.alias("key")).mapInArrow(made, schema + ", key string")
 
 
 def _at_least(x: float) -> int:
@@ -322,11 +328,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null id is never a component's name where another is there; ids that repeat with different texts are judged apart
     but named alike. Empty tables give no rows; further columns are ignored.
     """
+    sets, grouped = _grouped_sets(docs, id_col, text_col, k, percent)
+    return sets.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(grouped.select("sig", "component_id"), "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _grouped_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets, and (sig, component, component_id) of the classes in components of several rows."""
     spark = docs.sparkSession
     t = percent / 100
     counts = frequency_sketch(docs, text_col, k)
     cuts, sketch = fragment_cuts(counts), spark.sparkContext.broadcast(counts)
-    sets = materialize(gram_sets(docs, sketch, id_col, text_col, k, t), "gram-sets")
+    sets = materialize(gram_sets(docs, sketch, id_col, text_col, k, t, key), "gram-sets")
     classes = materialize(sets.where("sig is not null").groupBy("sig").agg(F.count("*").alias("members"), F.min("doc_id").alias("rep")), "gram-classes")
 
     # One row per class and n-gram of its prefix; a class's rows are taken from any one of its documents.
@@ -367,8 +379,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     components = done.select(F.col("node").alias("sig"), "component")
     named = classes.join(components, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("members").alias("all"))
-    grouped = materialize(named.join(names.where("all > 1"), "component").select("sig", "component_id"), "gram-groups")
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(grouped, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets, materialize(named.join(names.where("all > 1"), "component").select("sig", "component", "component_id"), "gram-groups")
 
 
 def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -424,17 +435,25 @@ def _settled_by_differences(near: DataFrame, done: DataFrame, percent: int, t: f
 def keep_one_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which each group of linked texts keeps one: its smallest id.
 
-    Where rows repeat that id, one of them stays: the longest, then the first by its other columns.
-    Texts without words are linked with nothing and all stay; so does a null id that no other names.
+    Rows are told apart by id and text, so an id that repeats with texts of different groups, and a null id, stay once
+    for each. Where rows of a group repeat its smallest id, one of them stays: the longest, then the first by its other
+    columns; a group of null ids alone keeps one likewise. Texts without words are linked with nothing and all stay.
     """
-    groups = similar_groups(docs, id_col, text_col, k, percent).where("not doc_id <=> component_id")
-    gone = materialize(groups.select(F.col("doc_id").alias("_id")).distinct(), "gram-gone")
-    names = docs.columns
-    left = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]), "left_anti")
-    again = materialize(left.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id_col).alias("_id")).where("_id is not null"), "gram-repeats")
+    names, key = docs.columns, F.md5(docs[text_col].cast("binary"))
+    sets, grouped = _grouped_sets(docs, id_col, text_col, k, percent, key)
+    # Of each group the rows of its smallest id stay for now; mostly that is one row.
+    linked = materialize(sets.select("doc_id", "sig", "key").join(grouped, "sig").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("component").alias("_group"), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_other")), "gram-linked")
+    gone = materialize(linked.where("_other").select("_id", "_key").distinct(), "gram-gone")
+    several = linked.where("not _other").groupBy("_group").agg(F.count("*").alias("_n")).where("_n > 1").select("_group")
+    again = materialize(linked.where("not _other").join(several, "_group", "left_semi").select("_id", "_key", "_group").distinct(), "gram-repeats")
+
+    def same(other: DataFrame) -> Column:
+        return docs[id_col].cast("long").eqNullSafe(other["_id"]) & (key == other["_key"])
+
+    left = docs.join(gone, same(gone), "left_anti")
     if not again.count():
         return left
-    repeated = left.join(again, left[id_col] == again["_id"], "left_semi")
-    order = [F.length(text_col).desc_nulls_last(), *(c for c in names if c != id_col)]
-    one = repeated.withColumn("_rn", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where("_rn = 1").select(*names)
-    return left.join(again, left[id_col] == again["_id"], "left_anti").unionByName(one)
+    # One row of each group by partial minima, so that a group of any size is never gathered.
+    order = [(-F.length(docs[text_col])).alias("_shorter"), *(docs[c] for c in names if c != id_col), docs[id_col]]
+    one = docs.join(again, same(again)).groupBy(again["_group"]).agg(F.min(F.struct(*order)).alias("_row")).select(*(F.col("_row")[c].alias(c) for c in names))
+    return left.join(again, same(again), "left_anti").unionByName(one)

@@ -93,6 +93,34 @@ def test_near_dedup_keeps_one_of_each_group(docs, corpus, empty):
     assert J.similar_groups(empty).count() == 0
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(3)
+    fresh = lambda: [f"u{rng.randrange(10**9)}" for _ in range(60)]
+    text = lambda w, tail="": " ".join([*w, tail] if tail else w)
+    a, b, c, d, e = (fresh() for _ in range(5))
+    rows = [
+        (1, text(a), "x"), (None, text(a, "near"), "x"), (None, text(fresh()), "x"), (None, text(fresh()), "x"),  # only the null id's near copy goes
+        (2, text(b), "x"), (3, text(b, "near"), "x"), (3, text(fresh()), "x"),  # of id 3 only the near copy goes
+        (4, text(fresh()), "x"), (4, text(fresh()), "y"), (4, text(fresh()), "y"),  # unlinked texts of one id all stay
+        (None, text(c), "x"), (None, text(c, "near"), "x"), (None, text(c, "other"), "x"),  # null ids alone: one stays
+        (5, text(d), "x"), (5, text(d, "longer"), "y"), (5, text(d, "longer"), "x"), (6, text(d), "x"),  # the longest of the smallest id, once
+        (7, text(e), "x"), (7, text(b, "again"), "x"), (8, text(e, "near"), "x"),  # id 7 names one group and goes from another
+        (9, None, "x"), (9, "", "x"), (9, " ", "x"), (None, None, "x"), (None, " ", "y"),  # without words: all stay
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = Counter(tuple(r) for r in J.keep_one_of_group(docs).collect())
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t, _ in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(sets):
+            group[i] = min([group[i], *(group[j] for j, y in enumerate(sets) if x and y and 100 * len(x & y) >= 80 * len(x | y))])
+    best = {}
+    for g, r in zip(group, rows, strict=True):
+        rank = (r[0] is None, r[0] or 0, -len(r[1] or ""), r[1] or "", r[2])
+        best[g] = min(best.get(g, (rank, r)), (rank, r), key=lambda x: x[0])
+    assert got == Counter(r for _, r in best.values()) and len(best) == 16
+
+
 def test_hashes_stand_for_shingles():
     s = J.Shingler(3)
     assert len(s("a b c a b c")) == 3 and len(s("a b")) == 1 and not len(s(" \n")) and not len(s(None))
