@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimforge.functions.normalize import let
 from claimforge.operators.components import connected_components
 from claimforge.operators.storage import materialize
 
@@ -47,8 +48,44 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), F.when(best["a"] == 1, F.lit("allow")).otherwise(F.lit("block")).alias("action")))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with ``/``, its ``.`` and ``..`` segments taken out."""
+    ended = F.regexp_replace(path, r"(/\.\.?)$", "$1/")
+    kept = F.aggregate(
+        F.split(F.substr(ended, F.lit(2)), "/"),
+        F.array().cast("array<string>"),
+        lambda held, x: F.when(x == ".", held).when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """A link's target as an absolute url (RFC 3986, 5.2) against ``base``, the url of a page with a host.
+
+    What names a scheme, or a host after ``//``, keeps its path as it is.
+    """
+
+    def against(x: Column) -> Column:
+        t, b = x["t"], x["b"]
+        site, own, rest = F.regexp_extract(b, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(t, r"(?s)^([^?#]*)", 1), F.regexp_extract(t, r"(?s)^[^?#]*(.*)$", 1)
+        folder = F.regexp_extract(path_of(b), r"(?s)^(.*/)", 1)
+        path = F.when(F.startswith(t, F.lit("/")), own).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own))
+        return (
+            F.when(F.regexp_like(t, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), t)
+            .when(F.startswith(t, F.lit("//")), F.concat(F.regexp_extract(b, r"(?s)^(.*?:)//", 1), t))
+            .when(F.startswith(t, F.lit("?")), F.concat(site, path_of(b), t))
+            .when(F.startswith(t, F.lit("#")), F.concat(F.regexp_extract(b, r"(?s)^([^#]*)", 1), t))
+            .otherwise(F.concat(site, without_dots(path), rest))
+        )
+
+    return let(F.struct(target.alias("t"), base.alias("b")), against)
+
+
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): a page and what its canonical link or its refresh redirect names, where absolute."""
+    """(a, b): a page and what its canonical link or its refresh redirect names.
+
+    Relative targets are resolved against the page's ``<base href>``, where it has one, and its url.
+    """
     html, quoted = F.col(html_col), "[\"']?([^\"'\\s>]+)"
     link = F.regexp_extract(html, "(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b[^>]*>", 0)
     refresh = F.regexp_extract(html, "(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>", 0)
@@ -57,7 +94,14 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         F.when(F.contains(low, F.lit("canonical")), F.regexp_extract(link, "(?is)\\bhref\\s*=\\s*" + quoted, 1)),
         F.when(F.contains(low, F.lit("refresh")), F.regexp_extract(refresh, "(?is)\\burl\\s*=\\s*" + quoted, 1)),
     )
-    return pages.select(node_of(F.col(url_col)).alias("a"), F.explode(targets).alias("t")).where("t <> ''").select("a", node_of(F.col("t")).alias("b")).where("a is not null and b is not null and a <> b")
+    tag = F.regexp_extract(html, "(?is)<base\\b[^>]*\\bhref\\s*=\\s*" + quoted, 1)
+    named = F.when(F.contains(low, F.lit("<base")), F.when(tag != "", tag))
+    links = pages.select(F.col(url_col).alias("url"), named.alias("base"), F.explode(targets).alias("t")).where("t <> ''").where(host_of(F.col("url")) != "")
+    based = let(resolved(F.col("base"), F.col("url")), lambda x: F.when(host_of(x) != "", x))
+    target = resolved(F.col("t"), F.coalesce(based, F.col("url")))
+    # An array, so that what it holds is computed once and not again in the filter.
+    ends = F.array(F.struct(node_of(F.col("url")).alias("a"), let(target, node_of).alias("b")))
+    return links.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a is not null and b is not null and a <> b")
 
 
 def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:

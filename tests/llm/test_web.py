@@ -84,6 +84,54 @@ def test_rules_and_equivalence_against_brute_force(spark):
     assert any(r["verdict"] == "block" and r["rule"] is None for r in got.values()) and urlfilter.judge(pages(spark, [])).count() == 0
 
 
+def parsed_edges(url, html):
+    """Links of a page by the standard library's parser and resolver."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    found = {"base": [], "links": []}
+
+    class Tags(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag == "base" and a.get("href"):
+                found["base"].append(a["href"])
+            elif tag == "link" and (a.get("rel") or "").lower() == "canonical" and a.get("href"):
+                found["links"].append(a["href"])
+            elif tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh" and "url=" in (a.get("content") or "").lower():
+                found["links"].append(a["content"][a["content"].lower().index("url=") + 4 :].strip(" '"))
+
+    Tags(convert_charrefs=True).feed(html or "")
+    base = urljoin(url, found["base"][0]) if found["base"] else url
+    return [urljoin(base, t) for t in found["links"]]
+
+
+TARGETS = [
+    "/es/new", "//x.net/es/y", "//X.NET/fr/", "../x", "../../../fr/a", "./", "..", ".", "a/./b/../c?x=/../y", "?q=/es/", "#part", "new", "new/", "es/", "/", "/es/../fr/", "/login?next=http://x.net/es/z", "next?to=https://a.org/",
+    "https://x.net/es/2", "HTTP://X.net/es/2#f", "mailto:a@x.net", "javascript:go()", "/en/a:b", "...", "a/..", "/a/.",
+]
+
+
+def test_relative_links_against_the_standard_library(spark):
+    bases = ["http://x.net/old", "http://x.net", "https://x.net/es/deep/er/page?q=/a/b#c/d", "http://X.net/?a", "http://blog.org/a/b/", "https://www.example.com/en/1#/x", "http://net#f"]
+    form = ['<link rel="canonical" href="{}">', "<LINK href='{}' REL=canonical >", '<meta http-equiv="refresh" content="0; url={}">', "<meta content=\"5;URL='{}'\" http-equiv=refresh>", '<base href="/fr/base/x"><link rel=canonical href="{}">', '<base href="//net/es/"><meta http-equiv=refresh content="0; url={}">']
+    rows = [(u, f.format(t)) for u in bases for t in TARGETS for f in form]
+    rows = [(i, *r) for i, r in enumerate(rows)] + [(-1, None, form[0].format("/es/")), (-2, "", form[0].format("/es/")), (-3, "x.net/es/", form[0].format("y")), (-4, "http://a.org/", None)]
+
+    def node(u):
+        return u.split("://", 1)[0].lower() + "://" + split(u)[0] + u.split("://", 1)[1][len(split(u)[0]) :].split("#")[0] if split(u)[0] else None
+
+    want = sorted((node(u), node(t)) for _, u, h in rows if node(u) for t in parsed_edges(u, h) if node(t) and node(t) != node(u))
+    assert sorted(tuple(e) for e in urlfilter.page_edges(pages(spark, rows)).collect()) == want
+
+
+def test_blocks_are_carried_over_relative_links(spark):
+    refresh = '<meta http-equiv=refresh content="0; url={}">'
+    rows = [(1, "http://x.net/old", refresh.format("/es/new")), (2, "http://x.net/a/b", '<link rel=canonical href="../fr/x">'), (3, "https://blog.org/", refresh.format("//x.net/es/x")), (4, "http://x.net/free", refresh.format("/en/new")), (5, "http://x.net/old", None)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(pages(spark, rows)).collect()}
+    assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "block")}
+
+
 def test_lines_of_a_site(spark):
     rng = random.Random(2)
     rows = []
