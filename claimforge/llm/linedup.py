@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from claimforge.llm.urlfilter import host_of
 from claimforge.operators.storage import materialize
 
-#: A line goes when more than this share of its host's pages contain it, on hosts of at least so many pages.
+#: A line goes when more than this share of its host's pages contain it, on hosts of any size; a line that only one
+#: page contains is no repeat.
 MAX_RATIO = 0.3
-MIN_PAGES = 10
+MIN_SUPPORT = 2
 #: Copies of a host's boilerplate list, so that a hot host's pages are spread over as many tasks.
 SALTS = 32
 
@@ -31,7 +32,7 @@ def text_lines(text: Column) -> Column:
     return F.filter(trimmed, lambda x: x != "")
 
 
-def boilerplate(lines: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(lines: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = 1) -> DataFrame:
     """(site, marks): the hashes of each site's boilerplate, from rows (site, hashes).
 
     Pages per site and per line of a site are partial sums before any shuffle. Each listed line is on
@@ -40,16 +41,16 @@ def boilerplate(lines: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     """
     pages = lines.groupBy("site").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     holding = lines.select("site", F.explode(F.array_distinct("hashes")).alias("mark")).groupBy("site", "mark").agg(F.count("*").alias("n"))
-    frequent = materialize(holding.where("n > 1"), "line-counts").join(materialize(pages, "line-pages"), "site").where(F.col("n") > F.col("pages") * max_ratio)
+    frequent = materialize(holding.where(F.col("n") >= MIN_SUPPORT), "line-counts").join(materialize(pages, "line-pages"), "site").where(F.col("n") > F.col("pages") * max_ratio)
     return frequent.groupBy("site").agg(F.sort_array(F.collect_list("mark")).alias("marks"))
 
 
-def site_line_dedup(pages: DataFrame, id_col: str = "page_id", site: Column | None = None, lines: Column | None = None, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def site_line_dedup(pages: DataFrame, id_col: str = "page_id", site: Column | None = None, lines: Column | None = None, max_ratio: float = MAX_RATIO, min_pages: int = 1) -> DataFrame:
     """(page_id, site, n_lines, n_dropped, text): every page without its site's boilerplate lines.
 
     ``site`` and ``lines`` are columns of ``pages`` (by default the host of ``url`` and the lines of
-    ``html``). A line counts once a page. Sites of fewer than ``min_pages`` pages keep all lines, for
-    there a share says nothing. The kept lines are joined by line feeds; all keep their order and repeats.
+    ``html``). A line counts once a page, and goes when at least two pages and more than ``max_ratio`` of the site's contain it.
+    Sites of fewer than ``min_pages`` pages keep all lines; by default there are none such. The kept lines are joined by line feeds; all keep their order and repeats.
 
     Only hashes of lines are shuffled to be counted. The few lists of boilerplate are copied under salts, so the
     pages of one hot site meet them in many tasks.

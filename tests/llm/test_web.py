@@ -152,6 +152,21 @@ def test_lines_of_a_site(spark):
     assert "menu hot.org" not in got[50]["text"].split("\n") and linedup.site_line_dedup(pages(spark, [])).count() == 0
 
 
+def test_lines_of_small_sites(spark):
+    rows = []
+    for size in (1, 2, 3, 4, 7, 9, 10):
+        rows += [(100 * size + i, f"http://s{size}.org/{i}", "".join(f"<p>{x}</p>" for x in ("menu", f"own {i}", *(["two"] if i < 2 else []), *(["three"] if i < 3 else [])))) for i in range(size)]
+    held = {}
+    for i, u, h in rows:
+        held.setdefault(split(u)[0], {})[i] = [x.split("</p>")[0] for x in h.split("<p>")[1:]]
+    got = {r["page_id"]: r["text"] for r in linedup.site_line_dedup(pages(spark, rows)).collect()}
+    for site in held.values():
+        for i, lines in site.items():
+            on = [sum(x in other for other in site.values()) for x in lines]
+            assert got[i] == "\n".join(x for x, n in zip(lines, on, strict=True) if n < 2 or n / len(site) <= 0.3), i
+    assert got[100] == "menu\nown 0\ntwo\nthree" and got[905] == "own 5" and got[1000] == "own 0\ntwo\nthree" and got[900] == "own 0\ntwo"
+
+
 def test_lines_of_texts(spark, docs):
     out = linedup.site_line_dedup(docs, "doc_id", F.col("source"), linedup.text_lines(F.col("text")), min_pages=5)
     assert out.count() == docs.count() and out.where("site = 'hot'").agg(F.sum("n_dropped")).first()[0] == 12
