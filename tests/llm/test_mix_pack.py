@@ -113,3 +113,33 @@ def test_words_encode_like_whole_texts(text):
         t.encode_special_tokens = True
         _ENCODERS = t, packing.Encoder(packing.default_vocabulary())
     assert np.frombuffer(_ENCODERS[1].encode(text), np.uint32).tolist() == _ENCODERS[0].encode(text, add_special_tokens=False).ids
+
+
+ADDED = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "  <|endoftext|>\n \n", "<|endoftext|", "<|ENDOFTEXT|>", "é<|endoftext|>'s 9", "word " * 100 + "<|endoftext|>" + " word" * 100]
+
+
+def as_loaded(text):
+    from tokenizers import Tokenizer
+
+    global _LOADED
+    if "_LOADED" not in globals():
+        _LOADED = Tokenizer.from_file(packing.default_vocabulary()), packing.Encoder(packing.default_vocabulary())
+    return _LOADED[0].encode(text, add_special_tokens=False).ids, np.frombuffer(_LOADED[1].encode(text), np.uint32).tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", "'s", "é", "<|", "|>", "word word"]), max_size=12).map("".join))
+def test_added_tokens_encode_as_in_the_tokenizer_as_loaded(text):
+    want, got = as_loaded(text)
+    assert got == want
+
+
+def test_pieces_of_texts_with_added_tokens(spark):
+    assert as_loaded("a <|endoftext|> b")[0] == [64, 220, 50256, 275]
+    want = []
+    for doc, text in enumerate(ADDED):
+        ids = as_loaded(text)[0] + [0]
+        cuts = [0, *range(len(ids) - (-(-len(ids) // 64) - 1) * 64, len(ids) + 1, 64)]
+        want += [(doc, i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    got = packing.pack(spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string"), most=64).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
