@@ -1,8 +1,9 @@
 """The corpus pipeline: classify, remove exact and near copies, mix sources, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
-the next one's ``docs``. All but the last return the columns of ``documents``. No stage is SQL: they are
-held against brute-force versions in tests/llm.
+the next one's ``docs``. All but the last return the columns of ``documents``. No stage is SQL: exact
+dedup, near dedup and packing are held against brute-force versions in tests/llm, mixing against operator 3's
+counts, the classifier against labels only.
 """
 
 from __future__ import annotations
