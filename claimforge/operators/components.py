@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.operators.storage import materialize
+from claimforge.operators.storage import materialize, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     by adaptive execution. The number of rounds grows with the logarithm of the longest
     chain. Nothing is collected but one count and checksum a round. Null ends and loops
     are dropped; an empty input gives an empty result. Repeated edges count once. When
-    ``max_rounds`` is not enough an error is raised, never a partial answer.
+    ``max_rounds`` is not enough an error is raised, never a partial answer. A round's tables are
+    deleted as soon as the next one's are written.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     current = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
@@ -26,7 +27,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if state == before or not state[0]:
             break
         before = state
-        current = _small_star(_large_star(current))
+        large = _large_star(current)
+        release(current)
+        current = _small_star(large)
+        release(large)
     else:
         raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -38,10 +42,16 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-large")
     out = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return materialize(out.distinct(), "cc-edges")
+    return _written(out.distinct(), least)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-small")
     hung = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return materialize(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+    return _written(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), least)
+
+
+def _written(edges: DataFrame, done: DataFrame) -> DataFrame:
+    out = materialize(edges, "cc-edges")
+    release(done)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Where the session names none (tests, a laptop) a temporary folder is made once and
-    set on the context, so that ``DataFrame.checkpoint`` works too.
+    Where a ``local`` session names none (tests, a laptop) a temporary folder is made once and
+    set on the context, so that ``DataFrame.checkpoint`` works too. On a cluster that would scatter
+    tables over the machines' own disks, so there a missing setting is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -20,6 +22,9 @@ def scratch_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='claimforge-')}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -42,7 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned, once nothing reads them any more."""
+    for table in tables:
+        if path := getattr(table, "scratch_path", None):
+            delete(table.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -255,7 +255,7 @@ def canonical_profile(spark, sf_dir):
     return p.select(
         "cluster_id", "candidate_id", "full_name", F.array_join("emails", ",").alias("emails"), "headline", "years_experience", F.col("location.city").alias("city"), F.col("location.country").alias("country"),
         F.col("links.github").alias("github"), F.array_join(F.transform("skills", lambda s: F.concat(s["name"], F.lit("="), s["confidence"].cast("string"))), ",").alias("skills"),
-        F.col("experience")[0]["company"].alias("company"), F.col("experience")[0]["start"].alias("start"), F.size("provenance").alias("n_provenance"), "overall_confidence",
+        F.get("experience", F.lit(0))["company"].alias("company"), F.get("experience", F.lit(0))["start"].alias("start"), F.size("provenance").alias("n_provenance"), "overall_confidence",
     )
 
 
