@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +32,15 @@ def unit_hash(*parts: Column) -> Column:
 def parts_for(rows: int, per_part: int, most: int = 1 << 20) -> int:
     """How many groups hold ``rows`` at about ``per_part`` each."""
     return max(1, min(most, -(-rows // per_part)))
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables written inside hand Python workers at most ``rows`` rows at a time, so long texts stay few in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

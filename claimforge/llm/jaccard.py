@@ -1,9 +1,11 @@
 """N-gram Jaccard join: a global n-gram order cut into fragments whose partial overlaps are summed per pair.
 
-Texts with the same n-gram set are one class. Classes that share an n-gram of their prefixes (the
-rarest ones, by the global order) stand in one bucket. A bucket is never expanded into all pairs: its members are
-compared with one pivot, and what the comparison leaves behind, the few n-grams by which a member
-differs from its pivot, settles the pairs of members exactly.
+Texts with the same n-gram set are one class. All classes are cut alike: their n-grams in the global order, rarest
+first, fall into fragments. Which pairs are worth counting is told by the first n-grams of each set: two
+sets can be linked only if the first n-gram that they share lies early enough in both. No bucket of sets
+that share an n-gram is expanded into pairs. Its members are first held against one pivot; then only members of
+different components whose sizes and places leave room for a link are paired, and these are found by cells of
+equal size and place, not member by member. Every link comes from a pair whose partial overlaps were summed.
 """
 
 from __future__ import annotations
@@ -13,29 +15,25 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimforge.llm.common import arrow_batches
+from claimforge.llm.presence import bit_filter, first_of_each, holds, maybe_in, summed_slices, whole_rows
 from claimforge.operators.components import connected_components
-from claimforge.operators.storage import materialize
+from claimforge.operators.storage import materialize, release
 
 #: Counters of the frequency sketch that orders n-grams: its size bounds what is sent to executors.
 SKETCH_BITS = 22
 SLICE_BITS = 18
 FRAGMENTS = 3
-#: A member at least this similar to its pivot is settled by its differences from it.
-NEAR = 0.5
-#: Buckets of at most so many members are paired directly, and their pairs held to the count of n-grams they share.
-SMALL_BUCKET = 4
-#: Bits of the filters that spare what can't matter a shuffle; beyond their size they only spare less.
+#: Bits of the filter that spares n-grams of one prefix the shuffle; beyond its size it only spares less.
 SHARED_BITS = 26
-WANTED_BITS = 25
 #: Words whose hashes a worker keeps.
-WORDS_KEPT = 250_000
-#: Rounds of pivots before what is left in a bucket is paired member by member.
-PIVOT_ROUNDS = 2
+WORDS_KEPT = 100_000
+#: Texts that a worker is given at a time.
+BATCH_TEXTS = 256
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
@@ -86,29 +84,32 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 def frequency_sketch(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     """How often n-grams of each of ``2**SKETCH_BITS`` slots occur, over all texts.
 
-    Every task sends its counters in compressed slices; slices are summed apart. What reaches the driver
+    Every task sends its counters in compressed slices; slices are summed apart, in two steps. What reaches the driver
     is one counter per slot, whatever the size of the corpus.
     """
-    size = 1 << SLICE_BITS
+    size, slices = 1 << SLICE_BITS, 1 << (SKETCH_BITS - SLICE_BITS)
+
+    def batch_of(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        rows = [(i, zlib.compress(np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)) for i, x in sorted(counts.items())]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "counts"])
 
     def counted(batches):
         grams, counts = _shingler(k), np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            held = [grams(x.as_py()) for x in batch.column(0)]
-            if held:
-                counts += np.bincount(_slot(np.concatenate(held)), minlength=len(counts)).astype(np.uint32)
-        parts = [(i, zlib.compress(counts[i * size : (i + 1) * size].tobytes(), 1)) for i in range(len(counts) // size) if counts[i * size : (i + 1) * size].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts], pa.int32()), pa.array([x[1] for x in parts], pa.binary())], ["slice", "counts"])
-
-    def summed(pdf):
-        total = np.zeros(size, np.uint64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)]})
-
-    schema = "slice int, counts binary"
+            for text in batch.column(0):
+                np.add.at(counts, _slot(grams(text.as_py())), 1)
+        yield batch_of({i: x for i in range(slices) if (x := counts[i * size : (i + 1) * size]).any()})
+
+    def merge(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total.setdefault(i, np.zeros(size, np.uint64))
+                total[i] += np.frombuffer(zlib.decompress(x), np.uint32)
+        yield batch_of(total)
+
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for row in docs.select(text_col).mapInArrow(counted, schema).groupBy("slice").applyInPandas(summed, schema).collect():
+    for row in summed_slices(docs.select(text_col).mapInArrow(counted, "slice int, counts binary"), merge, slices):
         out[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
     return out
 
@@ -128,10 +129,11 @@ def _signature(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-def gram_sets(docs: DataFrame, sketch, id_col: str, text_col: str, k: int, t: float, key: Column | None = None) -> DataFrame:
+def gram_sets(docs: DataFrame, sketch, id_col: str, text_col: str, k: int, percent: int, key: Column | None = None) -> DataFrame:
     """(doc_id, n, sig, central, prefix) of every row; the prefix is what one of two similar sets must share.
 
-    With ``key`` (a string) the rows carry it as a last column.
+    The prefix is in the global order: a place in it is the n-gram's place in the whole set. With ``key`` (binary) the
+    rows carry it as a last column.
     """
     schema = "doc_id long, n long, sig binary, central double, prefix array<long>"
 
@@ -142,7 +144,7 @@ def gram_sets(docs: DataFrame, sketch, id_col: str, text_col: str, k: int, t: fl
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 g = grams(text.as_py())
                 c = counts[_slot(g)]
-                order = np.lexsort((g, c))[: len(g) - _at_least(t * len(g)) + 1] if len(g) else []
+                order = np.lexsort((g, c))[: len(g) - -(-percent * len(g) // 100) + 1] if len(g) else []
                 ids.append(doc)
                 ns.append(len(g))
                 sigs.append(_signature(g) if len(g) else None)
@@ -155,88 +157,39 @@ def gram_sets(docs: DataFrame, sketch, id_col: str, text_col: str, k: int, t: fl
 
     if key is None:
         return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(made, schema)
-    return docs.select(F.col(id_col).cast("long"), text_col, key.alias("key")).mapInArrow(made, schema + ", key string")
+    return docs.select(F.col(id_col).cast("long"), text_col, key.alias("key")).mapInArrow(made, schema + ", key binary")
 
 
-def _at_least(x: float) -> int:
-    return math.ceil(x - 1e-9)
+def prefix_rows(sets: DataFrame) -> DataFrame:
+    """(gram, x, n, at, central): the n-grams that stand in the prefixes of several classes, one row a class.
 
-
-def _bitmap(values: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Packed bits of the slots that ``least`` (1 or 2) of the values (int64, the first column, maybe lists) fall into.
-
-    The bits have a fixed size: every task sends its own in compressed slices, which are joined apart.
+    An n-gram whose slot was hit once is in one prefix only and goes before it is shuffled; copies of a class
+    are one row after the partial aggregation of their task.
     """
-    size = 1 << min(20, bits)
-
-    def marked(batches):
-        once, twice = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            column = batch.column(0)
-            flat = column.flatten() if pa.types.is_list(column.type) else column
-            slots, n = np.unique(_bit(flat.to_numpy(zero_copy_only=False).view(np.uint64), bits), return_counts=True)
-            twice = np.union1d(twice, np.union1d(slots[n > 1], np.intersect1d(once, slots)))
-            once = np.union1d(once, slots)
-        out = []
-        for i in np.unique(once // size).tolist():
-            packed = []
-            for slots in (once, twice):
-                here = np.zeros(size, bool)
-                here[slots[(slots >= i * size) & (slots < (i + 1) * size)] - i * size] = True
-                packed.append(zlib.compress(np.packbits(here).tobytes(), 1))
-            out.append((i, *packed))
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["slice", "once", "twice"])
-
-    def joined(pdf):
-        once, twice = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
-        for a, b in zip(pdf["once"], pdf["twice"], strict=True):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            twice |= b | (once & a)
-            once |= a
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-    schema = "slice int, once binary, twice binary"
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in values.mapInArrow(marked, schema).groupBy("slice").applyInPandas(joined, schema).select("slice", "once" if least == 1 else "twice").collect():
-        out[row[0] * size // 8 : (row[0] + 1) * size // 8] = np.frombuffer(zlib.decompress(row[1]), np.uint8)
-    return out
-
-
-def _bit(values: np.ndarray, bits: int) -> np.ndarray:
-    return (values * _A >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _marked(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    at = _bit(values, bits)
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-
-
-def prefix_rows(reps: DataFrame) -> DataFrame:
-    """(gram, x, xn, central): the prefix n-grams that another class may have too.
-
-    An n-gram whose slot was hit once is in one prefix only and goes before it is shuffled.
-    """
-    shared = reps.sparkSession.sparkContext.broadcast(_bitmap(reps.select("prefix"), SHARED_BITS, 2))
+    shared = sets.sparkSession.sparkContext.broadcast(bit_filter(sets.select("prefix"), SHARED_BITS, 2))
 
     def rows(batches):
         for batch in batches:
             lists = batch.column(3)
             grams = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            keep = _marked(shared.value, grams.view(np.uint64), SHARED_BITS)
+            lengths = np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(batch.num_rows), lengths)
+            at = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            keep = holds(shared.value, grams, SHARED_BITS)
             held = batch.select([0, 1, 2]).take(pa.array(owner[keep]))
-            yield pa.RecordBatch.from_arrays([pa.array(grams[keep], pa.int64()), *held.columns], ["gram", "x", "xn", "central"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams[keep], pa.int64()), *held.columns, pa.array(at[keep], pa.int64())], ["gram", "x", "n", "central", "at"])
 
-    return reps.select("sig", "n", "central", "prefix").mapInArrow(rows, "gram long, x binary, xn long, central double")
+    found = sets.where("sig is not null").select("sig", "n", "central", "prefix").mapInArrow(rows, "gram long, x binary, n long, central double, at long")
+    return found.groupBy("gram", "x").agg(F.first("n").alias("n"), F.first("at").alias("at"), F.first("central").alias("central"))
 
 
 def fragments_of(docs: DataFrame, wanted: DataFrame, sketch, cuts, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(sig, n, frag, grams) of the classes ``wanted`` (doc_id, sig): their sets cut at the order's pivots."""
+    """(sig, frag, grams) of the classes ``wanted`` (doc_id, sig): their sets cut at the order's fragments."""
 
     def cut(batches):
         grams, counts = _shingler(k), sketch.value
         for batch in batches:
-            sigs, ns, frags, parts = [], [], [], []
+            sigs, frags, parts = [], [], []
             for text, sig in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 g = grams(text.as_py())
                 if _signature(g) != sig:
@@ -244,85 +197,41 @@ def fragments_of(docs: DataFrame, wanted: DataFrame, sketch, cuts, id_col: str,
                 frag = np.searchsorted(cuts, counts[_slot(g)], side="left")
                 for f in range(len(cuts) + 1):
                     sigs.append(sig)
-                    ns.append(len(g))
                     frags.append(f)
-                    parts.append(g[frag == f].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(ns, pa.int64()), pa.array(frags, pa.int32()), pa.array(parts, pa.binary())], ["sig", "n", "frag", "grams"])
-
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.xxhash64("doc_id")), WANTED_BITS, 1))
-
-    @F.pandas_udf("boolean")
-    def maybe(hashes: pd.Series) -> pd.Series:
-        return pd.Series(_marked(bits.value, hashes.to_numpy(np.int64).view(np.uint64), WANTED_BITS))
+                    parts.append(g[frag == f].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(frags, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["sig", "frag", "grams"])
 
     # Only texts that may be wanted leave the scan.
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(maybe(F.xxhash64("_id")))
+    maybe = maybe_in(wanted, "doc_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(maybe(F.col("_id")))
     chosen = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"])).select("_text", "sig")
-    return chosen.mapInArrow(cut, "sig binary, n long, frag int, grams binary")
-
-
-def _overlaps(batches):
-    """Partial overlap of two fragments, and their differences where these are few."""
-    for batch in batches:
-        a, b, frag, x, y, room = (batch.column(i) for i in range(6))
-        overlap, gone, come = [], [], []
-        for p, q, most in zip(x, y, room.to_pylist(), strict=True):
-            p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
-            at = np.searchsorted(p, q)
-            at[at == len(p)] = 0
-            both = p[at] == q if len(p) else np.zeros(len(q), bool)
-            shared = int(both.sum())
-            few = len(p) + len(q) - 2 * shared <= most
-            overlap.append(shared)
-            if few:
-                left = np.ones(len(p), bool)
-                left[at[both]] = False
-                gone.append(p[left].view(np.int64))
-                come.append(q[~both].view(np.int64))
-            else:
-                gone.append(None)
-                come.append(None)
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([a, b, frag, pa.array(overlap, pa.int64()), pa.array(gone, longs), pa.array(come, longs)], ["p", "x", "frag", "overlap", "gone", "come"])
-
-
-def compared(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(p, x, pn, xn, o, frags, gone, come): overlaps counted by fragment, then summed per pair."""
-    left = segments.select(F.col("sig").alias("p"), F.col("n").alias("pn"), "frag", F.col("grams").alias("pg"))
-    right = segments.select(F.col("sig").alias("x"), F.col("n").alias("xn"), "frag", F.col("grams").alias("xg"))
-    room = ((F.col("pn") + F.col("xn")) * (1 - NEAR) / (1 + NEAR)).cast("long")
-    joined = pairs.select("p", "x").join(left, "p").join(right, ["x", "frag"])
-    partial = joined.select("p", "x", "frag", "pg", "xg", room.alias("room"), "pn", "xn")
-    counted = partial.select("p", "x", "frag", "pg", "xg", "room").mapInArrow(_overlaps, "p binary, x binary, frag int, overlap long, gone array<long>, come array<long>")
-    sizes = pairs.select("p", "x", "pn", "xn")
-    empty = F.array().cast("array<long>")
-    summed = counted.groupBy("p", "x").agg(
-        F.sum("overlap").alias("o"),
-        F.max(F.col("gone").isNull()).alias("far"),
-        F.flatten(F.collect_list(F.coalesce("gone", empty))).alias("gone"),
-        F.flatten(F.collect_list(F.coalesce("come", empty))).alias("come"),
-    )
-    out = summed.join(sizes, ["p", "x"])
-    return out.withColumn("j", F.col("o") / (F.col("pn") + F.col("xn") - F.col("o")))
-
-
-def _linked(o: Column, a: Column, b: Column, percent: int) -> Column:
-    return o * 100 >= (a + b - o) * percent
-
-
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    return chosen.mapInArrow(cut, "sig binary, frag int, grams array<long>")
+
+
+def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """(p, pn, x, n, o): the overlap of each pair's sets, counted by fragment and then summed.
+
+    The member's fragments join first and the pivot's after, so those of a pivot with many members are
+    shuffled once. A fragment that one of the two has not counts nothing.
+    """
+    own = segments.select(F.col("sig").alias("x"), "frag", F.col("grams").alias("xg"))
+    pivot = segments.select(F.col("sig").alias("p"), "frag", F.col("grams").alias("pg"))
+    partial = pairs.join(own, "x").join(pivot, ["p", "frag"]).select("p", "pn", "x", "n", F.size(F.array_intersect("pg", "xg")).alias("both"))
+    return partial.groupBy("p", "pn", "x", "n").agg(F.sum("both").alias("o"))
+
+
+def _may(n: Column, at: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether sets of ``n`` and ``m`` n-grams whose first common one lies at these places can be linked."""
+    needed = (n + m) * percent
+    return ((n - at) * (100 + percent) >= needed) & ((m - other) * (100 + percent) >= needed)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: groups by links of ``100 * overlap >= percent * union``.
 
-    ``component_id`` is the smallest id reachable. No link between different texts is lost: for members
-    x and y of a bucket with pivot p, the overlap is |p| - |p\\x| - |p\\y| + |(p\\x) & (p\\y)| + |(x\\p) & (y\\p)|.
-    So two that differ little from p are linked whatever they share (then the member of the least
-    weight is linked with both, and only its pairs are made), or must share an n-gram by which both differ from p, and
-    meet over that one. Members far from p go to the next pivot, where by the triangle inequality of Jaccard distances
-    only members not too near p are held against them; after some rounds the rest is paired as it is.
+    ``component_id`` is the smallest id reachable. No link between different texts is lost: two linked sets share an
+    n-gram of their prefixes early enough in both, so they are held against each other or against a pivot
+    with which both are linked already.
 
     Null, empty and blank texts have no n-grams and are linked with nothing. Repeated rows and equal sets are one class.
     A null id is never a component's name where another is there; ids that repeat with different texts are judged apart
@@ -335,125 +244,120 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _grouped_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows' sets, and (sig, component, component_id) of the classes in components of several rows."""
     spark = docs.sparkSession
-    t = percent / 100
-    counts = frequency_sketch(docs, text_col, k)
-    cuts, sketch = fragment_cuts(counts), spark.sparkContext.broadcast(counts)
-    sets = materialize(gram_sets(docs, sketch, id_col, text_col, k, t, key), "gram-sets")
-    classes = materialize(sets.where("sig is not null").groupBy("sig").agg(F.count("*").alias("members"), F.min("doc_id").alias("rep")), "gram-classes")
-
-    # One row per class and n-gram of its prefix; a class's rows are taken from any one of its documents.
-    alone = sets.where("sig is not null").join(classes.where("members > 1"), "sig", "left_anti").select("sig", "n", "central", "prefix")
-    shared = sets.join(classes.where("members > 1"), "sig").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("sig", "n", "central", "prefix").dropDuplicates(["sig"])
-    reps = materialize(alone.unionByName(shared), "gram-reps")
-    rows = materialize(prefix_rows(reps), "gram-rows")
-    sizes = materialize(rows.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), "gram-sizes")
-    rows = materialize(rows.join(sizes, "gram"), "gram-shared")
-
-    def link(done: DataFrame, pairs: DataFrame) -> DataFrame:
-        seen = compared(pairs, _segments(docs, pairs, classes, sketch, cuts, id_col, text_col, k))
-        return _joined(done, seen.where(_linked(F.col("o"), F.col("pn"), F.col("xn"), percent)).select(F.col("p").alias("a"), F.col("x").alias("b")))
-
-    done = spark.createDataFrame([], "node binary, component binary")
-    pairs = materialize(_small_pairs(rows.where(F.col("size") <= SMALL_BUCKET), percent), "gram-small")
-    if pairs.count():
-        done = link(done, pairs)
-    rows = rows.where(F.col("size") > SMALL_BUCKET).select("gram", "x", "xn", "central")
-    for _ in range(PIVOT_ROUNDS):
-        pivot = F.max(F.struct("central", F.col("x"), "xn")).alias("pivot")
-        pivots = rows.groupBy("gram").agg(F.count("*").alias("size"), pivot).where("size > 1").select("gram", F.col("pivot.x").alias("p"), F.col("pivot.xn").alias("pn"))
-        held = materialize(rows.select("gram", "x", "xn", "central").join(materialize(pivots, "gram-pivots"), "gram").where("x <> p"), "gram-buckets")
-        pairs = materialize(held.where(_fits(F.col("pn"), F.col("xn"), int(100 * NEAR))).select("p", "pn", "x", "xn").distinct(), "gram-pairs")
-        seen = materialize(compared(pairs, _segments(docs, pairs, classes, sketch, cuts, id_col, text_col, k)), "gram-compared")
-        done = _joined(done, seen.where(_linked(F.col("o"), F.col("pn"), F.col("xn"), percent)).select(F.col("p").alias("a"), F.col("x").alias("b")))
-        done = _joined(done, _settled_by_differences(seen.where(~F.col("far") & (F.col("j") >= NEAR)), done, percent, t))
-        # What is left: members not so near the pivot that none but its other near ones can be linked with them.
-        rows = held.join(seen.select("p", "x", "j"), ["p", "x"], "left").where(F.coalesce("j", F.lit(0.0)) <= 1 - t + NEAR).select("gram", "x", "xn", "central")
-        rows = materialize(_in_several(rows, done, ["gram"]), "gram-left")
-    held = rows.select("gram", "x", "xn", "comp")
-    other = held.select("gram", F.col("x").alias("p"), F.col("xn").alias("pn"), F.col("comp").alias("pcomp"))
-    rest = held.join(other, "gram").where(F.col("p") < F.col("x")).where("comp <> pcomp").where(_fits(F.col("pn"), F.col("xn"), percent))
-    rest = materialize(rest.select("p", "pn", "x", "xn").distinct(), "gram-rest")
-    if rest.count():
-        done = link(done, rest)
-
+    with arrow_batches(spark, BATCH_TEXTS):
+        counts = frequency_sketch(docs, text_col, k)
+        cuts, sketch = fragment_cuts(counts), spark.sparkContext.broadcast(counts)
+        made = materialize(gram_sets(docs, sketch, id_col, text_col, k, percent, key), "gram-sets")
+        rows = materialize(prefix_rows(made), "gram-rows")
+        sets = materialize(made.drop("prefix", "central"), "gram-ids")
+        release(made)
+        classes = materialize(sets.where("sig is not null").groupBy("sig").agg(F.count("*").alias("members"), F.min("doc_id").alias("rep")), "gram-classes")
+
+        def fragments(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+            """Fragments of the classes in ``pairs``, cut from the text of one document of each."""
+            wanted = pairs.select(F.col("p").alias("sig")).union(pairs.select("x")).distinct()
+            if known is not None:
+                wanted = wanted.join(known, "sig", "left_anti")
+            wanted = materialize(wanted.join(classes, "sig").select(F.col("rep").alias("doc_id"), "sig"), "gram-wanted")
+            out = materialize(fragments_of(docs, wanted, sketch, cuts, id_col, text_col, k).dropDuplicates(["sig", "frag"]), "gram-fragments")
+            release(wanted)
+            return out if known is None else known.unionByName(out)
+
+        def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+            enough = F.col("o") * (100 + percent) >= (F.col("pn") + F.col("n")) * percent
+            return materialize(overlaps(pairs, segments).where(enough).select(F.col("p").alias("a"), F.col("x").alias("b")), "gram-links")
+
+        stars = materialize(_with_pivots(rows, percent), "gram-stars")
+        segments = fragments(stars)
+        links = linked(stars, segments)
+        done = materialize(connected_components(links), "gram-components")
+        pairs = materialize(_across(rows, done, stars, percent), "gram-pairs")
+        if not pairs.isEmpty():
+            more = linked(pairs, fragments(pairs, segments))
+            if not more.isEmpty():
+                # The components so far are stars already, so few rounds are needed.
+                joined = more.unionByName(done.select(F.col("node").alias("a"), F.col("component").alias("b")))
+                done = materialize(connected_components(joined), "gram-components")
+            release(more)
+        release(rows, stars, segments, links, pairs)
+        sketch.destroy()
     components = done.select(F.col("node").alias("sig"), "component")
     named = classes.join(components, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("members").alias("all"))
-    return sets, materialize(named.join(names.where("all > 1"), "component").select("sig", "component", "component_id"), "gram-groups")
+    grouped = materialize(named.join(names.where("all > 1"), "component").select("sig", "component", "component_id"), "gram-groups")
+    release(done, classes)
+    return sets, grouped
 
 
-def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (p, pn, x, xn) of small buckets that share as many prefix n-grams as a link needs.
+def _with_pivots(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (p, pn, x, n) of every bucket's members with its pivot: the class of the most common prefix.
 
-    Up to the smaller of two prefixes' last n-grams both are whole, so the overlap is at most the shared ones
-    and what the other sets hold beyond their prefixes. A pair that also shares a large bucket is settled there.
+    They are as many as the rows at most, and only those that the places of the bucket's n-gram allow.
     """
-    members = F.array_sort(F.collect_list(F.struct("x", "xn")))
-    each = rows.groupBy("gram").agg(members.alias("m")).select(F.explode(F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, SMALL_BUCKET), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("q"))
-    counted = each.groupBy(F.col("q.a.x").alias("p"), F.col("q.a.xn").alias("pn"), F.col("q.b.x").alias("x"), F.col("q.b.xn").alias("xn")).agg(F.count("*").alias("both"))
-    needed = F.ceil((F.col("pn") + F.col("xn")) * percent / (100 + percent) - 1e-9) - F.ceil(F.greatest("pn", "xn") * percent / 100 - 1e-9) + 1
-    return counted.where(_fits(F.col("pn"), F.col("xn"), percent)).where(F.col("both") >= needed).drop("both")
-
-
-def _joined(done: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links: those so far are stars already, so few rounds are needed."""
-    links = materialize(links, "gram-links")
-    if not links.count():
-        return done
-    return materialize(connected_components(links.unionByName(done.select(F.col("node").alias("a"), F.col("component").alias("b")))), "gram-components")
-
-
-def _segments(docs, pairs, classes, sketch, cuts, id_col, text_col, k) -> DataFrame:
-    """Fragments of the classes in ``pairs``, cut from the text of one document of each."""
-    wanted = pairs.select(F.col("p").alias("sig")).union(pairs.select("x")).distinct()
-    wanted = materialize(wanted.join(classes, "sig").select(F.col("rep").alias("doc_id"), "sig"), "gram-wanted")
-    return materialize(fragments_of(docs, wanted, sketch, cuts, id_col, text_col, k).dropDuplicates(["sig", "frag"]), "gram-segments")
-
-
-def _in_several(rows: DataFrame, done: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of groups whose members are not all in one component yet, with the member's component."""
-    known = rows.join(done.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
-    mixed = known.groupBy(*by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(*by)
-    return known.join(mixed, by, "left_semi")
-
-
-def _settled_by_differences(near: DataFrame, done: DataFrame, percent: int, t: float) -> DataFrame:
-    """Links between members near the same pivot, from what each lacks (``gone``) and adds (``come``)."""
-    weight = F.col("xn") * t / (1 + t) + F.size("gone")
-    near = materialize(_in_several(near.withColumn("weight", weight), done, ["p"]), "gram-near")
-    lightest = near.groupBy("p").agg(F.min(F.struct("weight", "x")).alias("l")).select("p", F.col("l.weight").alias("lw"), F.col("l.x").alias("lx"))
-    sure = near.join(lightest, "p").where((F.col("x") != F.col("lx")) & (F.col("weight") + F.col("lw") <= F.col("pn") - 1e-6)).select(F.col("lx").alias("a"), F.col("x").alias("b"))
-    grams = near.select("p", "pn", "x", "xn", "comp", F.size("gone").alias("g"), F.explode(F.concat("gone", "come")).alias("gram"))
-    grams = materialize(grams.join(grams.groupBy("p", "gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("p", "gram"), ["p", "gram"], "left_semi"), "gram-differences")
-    other = grams.select("p", "gram", F.col("x").alias("y"), F.col("xn").alias("yn"), F.col("comp").alias("ycomp"), F.col("g").alias("yg"))
-    met = grams.join(other, ["p", "gram"]).where("x < y").where("comp <> ycomp")
-    met = met.groupBy("p", "x", "y", "pn", "xn", "yn", "g", "yg").agg(F.count("*").alias("both"))
-    o = F.col("pn") - F.col("g") - F.col("yg") + F.col("both")
-    return sure.unionByName(met.where(_linked(o, F.col("xn"), F.col("yn"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    pivot = F.max(F.struct("central", "x", "n", "at")).alias("pivot")
+    pivots = rows.groupBy("gram").agg(F.count("*").alias("members"), pivot).where("members > 1")
+    pivots = pivots.select("gram", F.col("pivot.x").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat"))
+    held = rows.join(pivots, "gram").where("x <> p").where(_may(F.col("n"), F.col("at"), F.col("pn"), F.col("pat"), percent))
+    return held.select("p", "pn", "x", "n").distinct()
+
+
+def _across(rows: DataFrame, done: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+    """Pairs (p, pn, x, n) of different components that share an n-gram at places that allow a link, but those ``seen``.
+
+    Members of a bucket that agree in size and place are one cell. Cells are paired in bands of lengths, then a cell's
+    components, then their members; so a large component, or many members alike, cost as much as one until
+    they meet somebody they might be linked with.
+    """
+    known = rows.select("gram", "x", "n", "at").join(done.select(F.col("node").alias("x"), "component"), "x", "left")
+    known = known.withColumn("comp", F.coalesce("component", "x")).drop("component")
+    mixed = known.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
+    held = materialize(known.join(mixed, "gram", "left_semi"), "gram-mixed")
+    cells = held.groupBy("gram", "n", "at").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # Slightly wider than the ratio of sizes that a link allows: the larger is in the smaller's band or the next.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * 1.001 + 1e-9))
+    cells = materialize(cells.withColumn("band", band), "gram-cells")
+    small = cells.select("gram", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "n", "at", "lo", "hi")
+    large = cells.select("gram", "band", F.col("n").alias("m"), F.col("at").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("at") <= F.col("other")))
+    several = F.least("lo", "lo2") != F.greatest("hi", "hi2")
+    fit = small.join(large, ["gram", "band"]).where(ordered & several & _may(F.col("n"), F.col("at"), F.col("m"), F.col("other"), percent)).select("gram", "n", "at", "m", "other")
+    parts = held.select("gram", "n", "at", "comp").distinct()
+    second = parts.select("gram", F.col("n").alias("m"), F.col("at").alias("other"), F.col("comp").alias("comp2"))
+    apart = fit.join(parts, ["gram", "n", "at"]).join(second, ["gram", "m", "other"])
+    same = (F.col("n") == F.col("m")) & (F.col("at") == F.col("other"))
+    apart = apart.where((F.col("comp") != F.col("comp2")) & (~same | (F.col("comp") < F.col("comp2"))))
+    theirs = held.select("gram", F.col("n").alias("m"), F.col("at").alias("other"), F.col("comp").alias("comp2"), F.col("x").alias("y"))
+    met = apart.join(held, ["gram", "n", "at", "comp"]).join(theirs, ["gram", "m", "other", "comp2"])
+    first = F.col("x") < F.col("y")
+    pairs = met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("p"), F.when(first, F.col("n")).otherwise(F.col("m")).alias("pn"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(first, F.col("m")).otherwise(F.col("n")).alias("n")).distinct()
+    counted = seen.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
+    return pairs.join(counted, ["p", "x"], "left_anti").select("p", "pn", "x", "n")
 
 
 def keep_one_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which each group of linked texts keeps one: its smallest id.
 
     Rows are told apart by id and text, so an id that repeats with texts of different groups, and a null id, stay once
-    for each. Where rows of a group repeat its smallest id, one of them stays: the longest, then the first by its other
+    for each. Where rows of a group repeat its smallest id, one of them stays: the longest, then the first by its
     columns; a group of null ids alone keeps one likewise. Texts without words are linked with nothing and all stay.
+
+    Rows that the filter of ids rules out stay where they lie; only the others' texts are joined with what goes.
     """
-    names, key = docs.columns, F.md5(docs[text_col].cast("binary"))
+    key = F.unhex(F.md5(docs[text_col].cast("binary")))
     sets, grouped = _grouped_sets(docs, id_col, text_col, k, percent, key)
     # Of each group the rows of its smallest id stay for now; mostly that is one row.
-    linked = materialize(sets.select("doc_id", "sig", "key").join(grouped, "sig").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("component").alias("_group"), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_other")), "gram-linked")
-    gone = materialize(linked.where("_other").select("_id", "_key").distinct(), "gram-gone")
-    several = linked.where("not _other").groupBy("_group").agg(F.count("*").alias("_n")).where("_n > 1").select("_group")
-    again = materialize(linked.where("not _other").join(several, "_group", "left_semi").select("_id", "_key", "_group").distinct(), "gram-repeats")
-
-    def same(other: DataFrame) -> Column:
-        return docs[id_col].cast("long").eqNullSafe(other["_id"]) & (key == other["_key"])
-
-    left = docs.join(gone, same(gone), "left_anti")
-    if not again.count():
-        return left
-    # One row of each group by partial minima, so that a group of any size is never gathered.
-    order = [(-F.length(docs[text_col])).alias("_shorter"), *(docs[c] for c in names if c != id_col), docs[id_col]]
-    one = docs.join(again, same(again)).groupBy(again["_group"]).agg(F.min(F.struct(*order)).alias("_row")).select(*(F.col("_row")[c].alias(c) for c in names))
-    return left.join(again, same(again), "left_anti").unionByName(one)
+    linked = materialize(sets.select("doc_id", "sig", "key").join(grouped, "sig").select("doc_id", "key", F.col("component").alias("group"), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("other")), "gram-linked")
+    release(sets, grouped)
+    several = linked.where("not other").groupBy("group").agg(F.count("*").alias("rows")).where("rows > 1").select("group")
+    again = linked.where("not other").join(several, "group", "left_semi").select("doc_id", "key", "group", "other")
+    judged = materialize(linked.where("other").select("doc_id", "key", F.lit(None).cast("binary").alias("group"), "other").unionByName(again).distinct(), "gram-judged")
+    release(linked)
+    maybe = maybe_in(judged, "doc_id")
+    held = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), whole_rows(docs).alias("row"))
+    clean = held.where(~maybe(F.col("id"))).select("row")
+    near = held.where(maybe(F.col("id"))).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    told = judged.select(F.col("doc_id").alias("id2"), F.col("key").alias("key2"), "group", "other")
+    # A null text has no key and is in no group.
+    joined = near.join(told, near["id"].eqNullSafe(told["id2"]) & (near["key"] == told["key2"]), "left")
+    one = first_of_each(joined.where("not other"), ["group"], [-F.length("text")])
+    return clean.unionByName(joined.where("other is null").select("row")).unionByName(one).select("row.*")
