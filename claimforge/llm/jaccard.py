@@ -29,7 +29,7 @@ SKETCH_BITS = 22
 SLICE_BITS = 18
 FRAGMENTS = 3
 #: Bits of the filter that spares n-grams of one prefix the shuffle; beyond its size it only spares less.
-SHARED_BITS = 26
+SHARED_BITS = 27
 #: Words whose hashes a worker keeps.
 WORDS_KEPT = 100_000
 #: Texts that a worker is given at a time.
@@ -129,6 +129,11 @@ def _signature(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
+def _class(sig: Column) -> Column:
+    """The number that stands for a class among candidates: half of its signature, as long as an n-gram's hash."""
+    return F.conv(F.hex(F.substring(sig, 1, 8)), 16, -10).cast("long")
+
+
 def gram_sets(docs: DataFrame, sketch, id_col: str, text_col: str, k: int, percent: int, key: Column | None = None) -> DataFrame:
     """(doc_id, n, sig, central, prefix) of every row; the prefix is what one of two similar sets must share.
 
@@ -177,35 +182,36 @@ def prefix_rows(sets: DataFrame) -> DataFrame:
             at = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             keep = holds(shared.value, grams, SHARED_BITS)
             held = batch.select([0, 1, 2]).take(pa.array(owner[keep]))
-            yield pa.RecordBatch.from_arrays([pa.array(grams[keep], pa.int64()), *held.columns, pa.array(at[keep], pa.int64())], ["gram", "x", "n", "central", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams[keep], pa.int64()), *held.columns, pa.array(at[keep], pa.int32())], ["gram", "x", "n", "central", "at"])
 
-    found = sets.where("sig is not null").select("sig", "n", "central", "prefix").mapInArrow(rows, "gram long, x binary, n long, central double, at long")
+    held = sets.where("sig is not null").select(_class(F.col("sig")).alias("x"), F.col("n").cast("int"), F.col("central").cast("float"), "prefix")
+    found = held.mapInArrow(rows, "gram long, x long, n int, central float, at int")
     return found.groupBy("gram", "x").agg(F.first("n").alias("n"), F.first("at").alias("at"), F.first("central").alias("central"))
 
 
 def fragments_of(docs: DataFrame, wanted: DataFrame, sketch, cuts, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(sig, frag, grams) of the classes ``wanted`` (doc_id, sig): their sets cut at the order's fragments."""
+    """(class, frag, pivot, member, grams) of the classes ``wanted`` (doc_id, sig, pivot, member): their sets cut at the order's fragments."""
 
     def cut(batches):
         grams, counts = _shingler(k), sketch.value
         for batch in batches:
-            sigs, frags, parts = [], [], []
-            for text, sig in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            owners, frags, parts = [], [], []
+            for i, (text, sig) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), strict=True)):
                 g = grams(text.as_py())
                 if _signature(g) != sig:
                     continue
                 frag = np.searchsorted(cuts, counts[_slot(g)], side="left")
-                for f in range(len(cuts) + 1):
-                    sigs.append(sig)
-                    frags.append(f)
-                    parts.append(g[frag == f].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(frags, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["sig", "frag", "grams"])
+                owners += [i] * (len(cuts) + 1)
+                frags += range(len(cuts) + 1)
+                parts += [g[frag == f].view(np.int64) for f in range(len(cuts) + 1)]
+            held = batch.select([2, 3, 4]).take(pa.array(owners, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(frags, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["class", "pivot", "member", "frag", "grams"])
 
     # Only texts that may be wanted leave the scan.
     maybe = maybe_in(wanted, "doc_id")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(maybe(F.col("_id")))
-    chosen = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"])).select("_text", "sig")
-    return chosen.mapInArrow(cut, "sig binary, frag int, grams array<long>")
+    chosen = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"])).select("_text", "sig", _class(F.col("sig")).alias("class"), "pivot", "member")
+    return chosen.mapInArrow(cut, "class long, pivot boolean, member boolean, frag int, grams array<long>")
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -214,16 +220,16 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     The member's fragments join first and the pivot's after, so those of a pivot with many members are
     shuffled once. A fragment that one of the two has not counts nothing.
     """
-    own = segments.select(F.col("sig").alias("x"), "frag", F.col("grams").alias("xg"))
-    pivot = segments.select(F.col("sig").alias("p"), "frag", F.col("grams").alias("pg"))
+    own = segments.where("member").select(F.col("class").alias("x"), "frag", F.col("grams").alias("xg"))
+    pivot = segments.where("pivot").select(F.col("class").alias("p"), "frag", F.col("grams").alias("pg"))
     partial = pairs.join(own, "x").join(pivot, ["p", "frag"]).select("p", "pn", "x", "n", F.size(F.array_intersect("pg", "xg")).alias("both"))
     return partial.groupBy("p", "pn", "x", "n").agg(F.sum("both").alias("o"))
 
 
 def _may(n: Column, at: Column, m: Column, other: Column, percent: int) -> Column:
     """Whether sets of ``n`` and ``m`` n-grams whose first common one lies at these places can be linked."""
-    needed = (n + m) * percent
-    return ((n - at) * (100 + percent) >= needed) & ((m - other) * (100 + percent) >= needed)
+    needed = (n.cast("long") + m) * percent
+    return ((n.cast("long") - at) * (100 + percent) >= needed) & ((m.cast("long") - other) * (100 + percent) >= needed)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -251,38 +257,36 @@ def _grouped_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
         rows = materialize(prefix_rows(made), "gram-rows")
         sets = materialize(made.drop("prefix", "central"), "gram-ids")
         release(made)
-        classes = materialize(sets.where("sig is not null").groupBy("sig").agg(F.count("*").alias("members"), F.min("doc_id").alias("rep")), "gram-classes")
-
-        def fragments(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-            """Fragments of the classes in ``pairs``, cut from the text of one document of each."""
-            wanted = pairs.select(F.col("p").alias("sig")).union(pairs.select("x")).distinct()
-            if known is not None:
-                wanted = wanted.join(known, "sig", "left_anti")
-            wanted = materialize(wanted.join(classes, "sig").select(F.col("rep").alias("doc_id"), "sig"), "gram-wanted")
-            out = materialize(fragments_of(docs, wanted, sketch, cuts, id_col, text_col, k).dropDuplicates(["sig", "frag"]), "gram-fragments")
-            release(wanted)
-            return out if known is None else known.unionByName(out)
-
-        def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-            enough = F.col("o") * (100 + percent) >= (F.col("pn") + F.col("n")) * percent
-            return materialize(overlaps(pairs, segments).where(enough).select(F.col("p").alias("a"), F.col("x").alias("b")), "gram-links")
+        classes = materialize(sets.where("sig is not null").groupBy("sig").agg(F.count("*").alias("members"), F.min("doc_id").alias("rep")).withColumn("class", _class(F.col("sig"))), "gram-classes")
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            """The pairs that are linked, by fragments cut from the text of one document of each class."""
+            ends = pairs.select(F.col("p").alias("class"), F.lit(True).alias("pivot")).union(pairs.select("x", F.lit(False))).groupBy("class")
+            wanted = ends.agg(F.max("pivot").alias("pivot"), F.max(~F.col("pivot")).alias("member")).join(classes, "class")
+            wanted = materialize(wanted.select(F.col("rep").alias("doc_id"), "sig", "pivot", "member"), "gram-wanted")
+            segments = materialize(fragments_of(docs, wanted, sketch, cuts, id_col, text_col, k), "gram-fragments")
+            # A document that is there several times gives its fragments as often.
+            once = segments if segments.count() <= wanted.count() * FRAGMENTS else segments.dropDuplicates(["class", "frag"])
+            enough = F.col("o") * (100 + percent) >= (F.col("pn").cast("long") + F.col("n")) * percent
+            links = materialize(overlaps(pairs, once).where(enough).select(F.col("p").alias("a"), F.col("x").alias("b")), "gram-links")
+            release(wanted, segments)
+            return links
 
         stars = materialize(_with_pivots(rows, percent), "gram-stars")
-        segments = fragments(stars)
-        links = linked(stars, segments)
+        links = linked(stars)
         done = materialize(connected_components(links), "gram-components")
         pairs = materialize(_across(rows, done, stars, percent), "gram-pairs")
         if not pairs.isEmpty():
-            more = linked(pairs, fragments(pairs, segments))
+            more = linked(pairs)
             if not more.isEmpty():
                 # The components so far are stars already, so few rounds are needed.
                 joined = more.unionByName(done.select(F.col("node").alias("a"), F.col("component").alias("b")))
                 done = materialize(connected_components(joined), "gram-components")
             release(more)
-        release(rows, stars, segments, links, pairs)
+        release(rows, stars, links, pairs)
         sketch.destroy()
-    components = done.select(F.col("node").alias("sig"), "component")
-    named = classes.join(components, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    components = done.select(F.col("node").alias("class"), "component")
+    named = classes.join(components, "class", "left").withColumn("component", F.coalesce("component", "class"))
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("members").alias("all"))
     grouped = materialize(named.join(names.where("all > 1"), "component").select("sig", "component", "component_id"), "gram-groups")
     release(done, classes)
@@ -314,13 +318,18 @@ def _across(rows: DataFrame, done: DataFrame, seen: DataFrame, percent: int) ->
     held = materialize(known.join(mixed, "gram", "left_semi"), "gram-mixed")
     cells = held.groupBy("gram", "n", "at").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # Slightly wider than the ratio of sizes that a link allows: the larger is in the smaller's band or the next.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * 1.001 + 1e-9))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * 1.001 + 1e-9)).cast("int")
     cells = materialize(cells.withColumn("band", band), "gram-cells")
-    small = cells.select("gram", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "n", "at", "lo", "hi")
+    # The smaller of two has the n-gram in the first half of its prefix.
+    early = cells.where(_may(F.col("n"), F.col("at"), F.col("n"), F.col("at"), percent))
+    small = early.select("gram", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "n", "at", "lo", "hi")
     large = cells.select("gram", "band", F.col("n").alias("m"), F.col("at").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("at") <= F.col("other")))
     several = F.least("lo", "lo2") != F.greatest("hi", "hi2")
-    fit = small.join(large, ["gram", "band"]).where(ordered & several & _may(F.col("n"), F.col("at"), F.col("m"), F.col("other"), percent)).select("gram", "n", "at", "m", "other")
+    fit = small.join(large, ["gram", "band"]).where(ordered & several & _may(F.col("n"), F.col("at"), F.col("m"), F.col("other"), percent))
+    fit = materialize(fit.select("gram", "n", "at", "m", "other"), "gram-fit")
+    # Few buckets have cells that fit: only their rows go on.
+    held = materialize(held.join(fit.select("gram").distinct(), "gram", "left_semi"), "gram-held")
     parts = held.select("gram", "n", "at", "comp").distinct()
     second = parts.select("gram", F.col("n").alias("m"), F.col("at").alias("other"), F.col("comp").alias("comp2"))
     apart = fit.join(parts, ["gram", "n", "at"]).join(second, ["gram", "m", "other"])
@@ -350,7 +359,7 @@ def keep_one_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     release(sets, grouped)
     several = linked.where("not other").groupBy("group").agg(F.count("*").alias("rows")).where("rows > 1").select("group")
     again = linked.where("not other").join(several, "group", "left_semi").select("doc_id", "key", "group", "other")
-    judged = materialize(linked.where("other").select("doc_id", "key", F.lit(None).cast("binary").alias("group"), "other").unionByName(again).distinct(), "gram-judged")
+    judged = materialize(linked.where("other").select("doc_id", "key", F.lit(None).cast("long").alias("group"), "other").unionByName(again).distinct(), "gram-judged")
     release(linked)
     maybe = maybe_in(judged, "doc_id")
     held = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), whole_rows(docs).alias("row"))

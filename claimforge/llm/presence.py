@@ -16,7 +16,8 @@ SLICE_BITS = 20
 #: Bits of a filter of row ids: it has this size whatever the table's; beyond it, it only spares less.
 ID_BITS = 25
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A value marks two bits.
+_MIXES = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)))
 
 
 def summed_slices(parts: DataFrame, merge: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], slices: int) -> list:
@@ -29,25 +30,24 @@ def summed_slices(parts: DataFrame, merge: Callable[[Iterator[pa.RecordBatch]],
     return near.mapInArrow(merge, parts.schema).repartition(min(slices, 64), "slice").mapInArrow(merge, parts.schema).collect()
 
 
-def _at(values: np.ndarray, bits: int) -> np.ndarray:
-    return (values.view(np.uint64) * _MIX >> np.uint64(64 - bits)).astype(np.int64)
+def _places(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    v = values.view(np.uint64)
+    return [((v ^ (v >> np.uint64(31))) * mix >> np.uint64(64 - bits)).astype(np.int64) for mix in _MIXES]
 
 
-def _set(bitmap: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(bitmap, at >> 3, (0x80 >> (at & 7)).astype(np.uint8))
-
-
-def _has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+def _set(bitmap: np.ndarray, values: np.ndarray, bits: int) -> None:
+    for at in _places(values, bits):
+        np.bitwise_or.at(bitmap, at >> 3, (0x80 >> (at & 7)).astype(np.uint8))
 
 
 def holds(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     """Which of the int64 ``values`` may be in the filter."""
-    return _has(bitmap, _at(values, bits))
+    one, two = ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 for at in _places(values, bits))
+    return one & two == 1
 
 
 def bit_filter(values: DataFrame, bits: int, least: int = 1) -> np.ndarray:
-    """Packed bits of the slots that at least ``least`` (1 or 2) of the values fall into.
+    """Packed bits that are marked by every value which occurs ``least`` (1 or 2) times, and by few others.
 
     The values are int64, in the first column, or lists of them. A task holds two arrays of ``2**bits`` bits.
     """
@@ -63,9 +63,9 @@ def bit_filter(values: DataFrame, bits: int, least: int = 1) -> np.ndarray:
         for batch in batches:
             column = batch.column(0)
             flat = column.flatten() if pa.types.is_list(column.type) else column
-            at, n = np.unique(_at(flat.to_numpy(zero_copy_only=False), bits), return_counts=True)
-            _set(twice, at[(n > 1) | _has(once, at)])
-            _set(once, at)
+            found, n = np.unique(flat.to_numpy(zero_copy_only=False), return_counts=True)
+            _set(twice, found[(n > 1) | holds(once, found, bits)], bits)
+            _set(once, found, bits)
         cut = {i: once[i * size : (i + 1) * size] for i in range(slices)}
         cut = {i: x for i, x in cut.items() if x.any()}
         yield batch_of(cut, {i: twice[i * size : (i + 1) * size] for i in cut})

@@ -33,6 +33,13 @@ def test_exact_dedup_keeps_one_row_of_each(docs, corpus, empty):
     assert cuckoo.exact_groups(empty).count() == 0 and cuckoo.exact_dedup(empty).count() == 0
 
 
+def test_dedup_keeps_columns_of_any_name(spark):
+    rows = [(i, "same  text" if i % 2 else f"text {i} of its own with many other words", f"d{i}", i * 3, i, {"k": i}) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _digest string, _id long, id long, row map<string,int>")
+    want = {tuple(r.values()) if isinstance(r, dict) else r[:5] for r in rows if r[0] == 1 or not r[0] % 2}
+    assert {tuple(r)[:5] for r in cuckoo.exact_dedup(docs).collect()} == want == {tuple(r)[:5] for r in J.keep_one_of_group(docs).collect()}
+
+
 def test_cuckoo_index_against_a_dict():
     rng, index, live = random.Random(1), cuckoo.CuckooIndex(2), {}
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
@@ -86,6 +93,28 @@ def test_similar_groups_against_all_pairs(docs, corpus, k, percent):
     assert got == brute(corpus, k, percent)
 
 
+def test_similar_groups_of_long_texts_and_a_hot_passage(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, base, long = fresh(9), fresh(90), fresh(9000)
+    texts = [" ".join(passage + fresh(rng.randrange(0, 4))) for _ in range(60)]
+    for i in range(70):
+        copy = list(base)
+        for at in rng.sample(range(90), i % 6):
+            copy[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(copy + passage * (i % 2)))
+    for share in (0, 100, 300, 450, 900):
+        copy = list(long)
+        for at in rng.sample(range(9000), share):
+            copy[at] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    corpus = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(5)
+    for k, percent in ((3, 90), (5, 80)):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.similar_groups(docs, k=k, percent=percent).collect())
+        assert got == brute(corpus, k, percent)
+
+
 def test_near_dedup_keeps_one_of_each_group(docs, corpus, empty):
     left = J.keep_one_of_group(docs).collect()
     component = {d: c for d, _, c in brute(corpus, 5, 80) if d >= 0}
