@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm.common import SPACE, parts_for
+from claimforge.llm.presence import first_of_each, maybe_in, whole_rows
 from claimforge.operators.storage import materialize
 
 #: Digests of one shard of the index, at about.
@@ -198,30 +199,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns under any names.
 
     Ids are looked up together with the content, so rows of one id and different texts are judged apart; of
-    rows that repeat id and text exactly one stays, that of the most code points.
+    rows that repeat id and content exactly one stays, that of the most code points, then the first by its columns.
+    Null, empty and blank texts are equal, so one row of them stays. A null id stays null. An empty table gives no rows.
+
+    Rows that a filter of the ids of dropped rows rules out stay where they lie; only the others' texts are joined.
     """
-    groups = exact_groups(docs, id_col, text_col)
-    # An anti join by a narrow key of the rows that go; a row number within (id, digest, length) tells repeated rows apart.
-    gone = groups.where("not kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_gone"))
-    kept = groups.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_kept"))
-    gone = materialize(gone.join(kept, (gone.doc_id.eqNullSafe(kept.doc_id)) & (gone.text_sha256 == kept.text_sha256), "left").select(gone.doc_id.alias("_id"), gone.text_sha256.alias("_sha"), F.coalesce("_kept", F.lit(0)).alias("_stay")), "gone")
-    names = docs.columns
-    marked = docs.withColumn("_digest", F.lower(F.hex(content_digest(F.col(text_col)))))
-    joined = marked.join(gone, marked[id_col].cast("long").eqNullSafe(gone["_id"]) & (marked["_digest"] == gone["_sha"]), "left")
-    whole = joined.where("_stay is null").select(*(marked[c] for c in names))
-    again = joined.where("_stay > 0").select(*(marked[c] for c in names), "_digest")
-    one = again.withColumn("_rn", F.row_number().over(_repeats(again, id_col, text_col))).where("_rn = 1").select(*names)
-    return whole.unionByName(one)
-
-
-def _repeats(df: DataFrame, id_col: str, text_col: str):
-    from pyspark.sql import Window
-
-    rest = [c for c in df.columns if c not in (id_col, "_digest")]
-    return Window.partitionBy(id_col, "_digest").orderBy(F.length(text_col).desc_nulls_last(), *rest)
+    groups = exact_groups(docs, id_col, text_col).select("doc_id", "text_sha256", "kept")
+    # How many rows of an id and content stay, where others of them go: none or one.
+    judged = groups.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.min("kept").alias("all_stay")).where("not all_stay")
+    judged = materialize(judged.select(F.col("doc_id").alias("id2"), F.unhex("text_sha256").alias("digest2"), "stays"), "gone")
+    maybe = maybe_in(judged, "id2")
+    held = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), whole_rows(docs).alias("row"))
+    clean = held.where(~maybe(F.col("id"))).select("row")
+    copies = held.where(maybe(F.col("id"))).withColumn("digest", content_digest(F.col("text")))
+    joined = copies.join(judged, copies["id"].eqNullSafe(judged["id2"]) & (copies["digest"] == judged["digest2"]), "left")
+    one = first_of_each(joined.where("stays"), ["id", "digest"], [-F.coalesce(F.length("text"), F.lit(0))])
+    return clean.unionByName(joined.where("stays is null").select("row")).unionByName(one).select("row.*")
 
 
 CHANGED = "digest binary, refs long"
