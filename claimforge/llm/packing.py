@@ -54,7 +54,8 @@ class Encoder:
     splits a text before every space that follows a non-space, so the ids of a text are those
     of its space-led words; only where white space stands on both sides of a space (or ends
     the text behind another one) is the text encoded as a whole. A text that holds the string of one of
-    the file's added tokens is left to ``tokenizers`` itself, which gives that token's id for it.
+    the file's added tokens is left to ``tokenizers`` itself, which gives that token's id for it, and so is one with
+    a run of white space so long that the word pattern would exhaust its stack.
     """
 
     #: White space around a space, or a last space after white space.
@@ -69,7 +70,7 @@ class Encoder:
             spec = json.load(f)
         special = {x["content"] for x in spec.get("added_tokens", ()) if x.get("special")}
         added = [re.escape(x["content"]) for x in spec.get("added_tokens", ()) if x["content"]]
-        self._added = re.compile("|".join(added) or r"(?!)")
+        self._odd = re.compile("|".join([*added, r"\s{5000}"]))
         self._file, self._whole = vocabulary, None
         as_byte = {c: b for b, c in _byte_letters().items()}
         ranks = {bytes(as_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
@@ -79,7 +80,7 @@ class Encoder:
     def packed(self, text: str) -> bytes:
         return array("I", self._bpe.encode_ordinary(text)).tobytes()
 
-    def _with_added(self, text: str) -> bytes:
+    def _by_file(self, text: str) -> bytes:
         if self._whole is None:
             from tokenizers import Tokenizer
 
@@ -88,8 +89,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as unsigned little-endian 32-bit numbers."""
-        if self._added.search(text):
-            return self._with_added(text)
+        if self._odd.search(text):
+            return self._by_file(text)
         if self.RUNS.search(text):
             return self.packed(text)
         words = text.split(" ")
