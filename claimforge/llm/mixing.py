@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import parts_for, unit_hash, word_count
+from claimforge.llm.common import unit_hash, word_count
+from claimforge.llm.presence import whole_rows
 from claimforge.operators.storage import materialize
 
 #: Sources in order weigh 5, 2, 1, repeating; none is taken more than 3 times over.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-#: Documents in one cell of the prefix sum, at about.
-CELL_ROWS = 2000
-MAX_SALTS = 4096
+#: Cells of a source grow in number and in size with the root of the table, so neither the list of cells nor a cell is
+#: ever large: of 10 billion documents, 25,000 cells for each stratum of a source.
+ROOT_SHARE = 4
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -64,7 +67,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     ignored.
     """
     sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sized")
-    salts = parts_for(sized.count(), CELL_ROWS, MAX_SALTS)
+    salts = max(1, math.ceil(math.sqrt(sized.count()) / ROOT_SHARE))
     salt = F.floor(unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))) * salts).cast("int")
     placed = sized.withColumns({"k": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")), "stratum": stratum(F.col("size")), "salt": salt})
     targets = source_targets(sized, weights, max_epochs)
@@ -82,7 +85,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     cells = materialize(cells.join(rates, "k").select("k", "stratum", "salt", "ahead", "source_size", "target", "rate", "offset"), "mix-cells")
     inside = Window.partitionBy("k", "stratum", "salt").orderBy("size", "doc_id")
     rank = F.col("ahead") + F.row_number().over(inside)
-    ranked = placed.join(cells, ["k", "stratum", "salt"]).withColumn("rank", rank)
+    ranked = placed.join(cells.hint("merge"), ["k", "stratum", "salt"]).withColumn("rank", rank)
     crossed = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
     copies = F.least(crossed, F.ceil("rate")).cast("long")
     extra = ["source"] if with_source else []
@@ -93,18 +96,19 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     """The rows of ``docs``, with all their columns, each as often as the mix takes it.
 
     Rows that repeat an id share out that id's copies of like size and source: each is taken as often as its own
-    place in the order says.
+    place in the order says. Columns of any name come back as they were. Null texts, ids and sources are mixed like
+    others; an empty table gives no rows. The texts are shuffled once, by id, whatever the table's size.
     """
-    names = docs.columns
-    place = Window.partitionBy("_id", "_source", "_size").orderBy(*(c for c in names if c not in (id_col, source_col)))
-    taken = mix(docs, id_col, source_col, text_col, with_source=True, **how).select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-    per_row = materialize(taken.groupBy("_i", "_s", "_z").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "mix-copies")
-    keyed = docs.withColumns({"_id": F.col(id_col), "_source": F.col(source_col), "_size": word_count(F.col(text_col))})
-    same = keyed["_id"].eqNullSafe(per_row["_i"]) & keyed["_source"].eqNullSafe(per_row["_s"]) & (keyed["_size"] == per_row["_z"])
-    joined = keyed.join(per_row, same)
+    taken = mix(docs, id_col, source_col, text_col, with_source=True, **how).select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "copies")
+    per_row = materialize(taken.groupBy("i", "s", "z").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-copies")
+    keyed = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), whole_rows(docs).alias("row"))
+    same = keyed["id"].eqNullSafe(per_row["i"]) & keyed["source"].eqNullSafe(per_row["s"]) & (keyed["size"] == per_row["z"])
+    joined = keyed.join(per_row.where("copies > 0").hint("merge"), same)
     # Alike rows take turns: the first ones get one copy more where the sum isn't a multiple.
-    single = joined.where("_rows = 1").withColumn("_n", F.col("_copies"))
-    several = joined.where("_rows > 1").withColumn("_rn", F.row_number().over(place))
-    several = several.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_rn") <= F.col("_copies") % F.col("_rows")).cast("long"))
-    both = single.select(*names, "_n").unionByName(several.select(*names, F.col("_n").cast("long").alias("_n")))
-    return both.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*names)
+    sortable = [F.col("row")[f.name] for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    place = Window.partitionBy("id", "source", "size").orderBy(*sortable)
+    single = joined.where("rows = 1").select("row", F.col("copies").alias("n"))
+    several = joined.where("rows > 1").withColumn("rn", F.row_number().over(place))
+    several = several.select("row", (F.floor(F.col("copies") / F.col("rows")) + (F.col("rn") <= F.col("copies") % F.col("rows")).cast("long")).cast("long").alias("n"))
+    both = single.unionByName(several).where("n > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")

@@ -85,7 +85,7 @@ targets AS (
   SELECT source, source_size, CASE WHEN lam IS NULL THEN cap::DOUBLE ELSE lam * w END AS target,
          ('0x' || substr(md5('17|' || coalesce(source, chr(0))), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
   FROM chosen),
-salts AS (SELECT greatest(1, least(4096, -(-count(*) // 2000))) AS k FROM sized),
+salts AS (SELECT greatest(1, ceil(sqrt(count(*)::DOUBLE) / 4)) AS k FROM sized),
 placed AS (
   SELECT d.*, length(d.size::VARCHAR) * 10 + substr(d.size::VARCHAR, 1, 1)::INT AS stratum,
          floor(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|17'), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE * k)::INT AS salt

@@ -143,3 +143,19 @@ def test_pieces_of_texts_with_added_tokens(spark):
         want += [(doc, i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
     got = packing.pack(spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string"), most=64).collect()
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 700_000, "a" + "\t \n" * 300_000 + "b"])
+def test_long_runs_of_white_space(text):
+    from tokenizers import Tokenizer
+
+    file = packing.default_vocabulary()
+    want = Tokenizer.from_file(file).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.Encoder(file).encode(text), "<u4").tolist() == want
+
+
+def test_mixed_rows_keep_columns_of_any_name(spark):
+    rows = [(i, f"a b c {i}", "s", i * 3, i * 5, "x", {"k": i}) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id long, size long, row string, held map<string,int>")
+    got = mixing.mixed_documents(docs).collect()
+    assert got and all(tuple(r) in [tuple(x) for x in rows] for r in got)
