@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import arrow_batches
+from claimforge.llm.common import arrow_batches, give_back
 from claimforge.llm.presence import bit_filter, first_of_each, holds, maybe_in, summed_slices, whole_rows
 from claimforge.operators.components import connected_components
 from claimforge.operators.storage import materialize, release
@@ -31,7 +31,7 @@ FRAGMENTS = 3
 #: Bits of the filter that spares n-grams of one prefix the shuffle; beyond its size it only spares less.
 SHARED_BITS = 27
 #: Words whose hashes a worker keeps.
-WORDS_KEPT = 100_000
+WORDS_KEPT = 60_000
 #: Texts that a worker is given at a time.
 BATCH_TEXTS = 256
 
@@ -99,6 +99,8 @@ def frequency_sketch(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
             for text in batch.column(0):
                 np.add.at(counts, _slot(grams(text.as_py())), 1)
         yield batch_of({i: x for i in range(slices) if (x := counts[i * size : (i + 1) * size]).any()})
+        del counts
+        give_back()
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
@@ -159,6 +161,7 @@ def gram_sets(docs: DataFrame, sketch, id_col: str, text_col: str, k: int, perce
                 [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(centrals, pa.float64()), pa.array(prefixes, pa.list_(pa.int64())), *batch.columns[2:]],
                 ["doc_id", "n", "sig", "central", "prefix", *batch.schema.names[2:]],
             )
+        give_back()
 
     if key is None:
         return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(made, schema)
@@ -206,6 +209,7 @@ def fragments_of(docs: DataFrame, wanted: DataFrame, sketch, cuts, id_col: str,
                 parts += [g[frag == f].view(np.int64) for f in range(len(cuts) + 1)]
             held = batch.select([2, 3, 4]).take(pa.array(owners, pa.int64()))
             yield pa.RecordBatch.from_arrays([*held.columns, pa.array(frags, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["class", "pivot", "member", "frag", "grams"])
+        give_back()
 
     # Only texts that may be wanted leave the scan.
     maybe = maybe_in(wanted, "doc_id")
@@ -254,9 +258,12 @@ def _grouped_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
         counts = frequency_sketch(docs, text_col, k)
         cuts, sketch = fragment_cuts(counts), spark.sparkContext.broadcast(counts)
         made = materialize(gram_sets(docs, sketch, id_col, text_col, k, percent, key), "gram-sets")
-        rows = materialize(prefix_rows(made), "gram-rows")
+        found = materialize(prefix_rows(made), "gram-rows")
         sets = materialize(made.drop("prefix", "central"), "gram-ids")
         release(made)
+        # What the filter let through of n-grams that one class alone has goes here.
+        rows = materialize(_with_pivots(found), "gram-buckets")
+        release(found)
         classes = materialize(sets.where("sig is not null").groupBy("sig").agg(F.count("*").alias("members"), F.min("doc_id").alias("rep")).withColumn("class", _class(F.col("sig"))), "gram-classes")
 
         def linked(pairs: DataFrame) -> DataFrame:
@@ -272,7 +279,7 @@ def _grouped_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
             release(wanted, segments)
             return links
 
-        stars = materialize(_with_pivots(rows, percent), "gram-stars")
+        stars = materialize(_stars(rows, percent), "gram-stars")
         links = linked(stars)
         done = materialize(connected_components(links), "gram-components")
         pairs = materialize(_across(rows, done, stars, percent), "gram-pairs")
@@ -293,16 +300,17 @@ def _grouped_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
     return sets, grouped
 
 
-def _with_pivots(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (p, pn, x, n) of every bucket's members with its pivot: the class of the most common prefix.
-
-    They are as many as the rows at most, and only those that the places of the bucket's n-gram allow.
-    """
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """(gram, x, n, at, p, pn, pat): the rows of every bucket of several with its pivot, the class of the most common prefix."""
     pivot = F.max(F.struct("central", "x", "n", "at")).alias("pivot")
     pivots = rows.groupBy("gram").agg(F.count("*").alias("members"), pivot).where("members > 1")
     pivots = pivots.select("gram", F.col("pivot.x").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat"))
-    held = rows.join(pivots, "gram").where("x <> p").where(_may(F.col("n"), F.col("at"), F.col("pn"), F.col("pat"), percent))
-    return held.select("p", "pn", "x", "n").distinct()
+    return rows.drop("central").join(pivots, "gram")
+
+
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (p, pn, x, n) of members with their bucket's pivot: at most one a row, where the places of its n-gram allow a link."""
+    return rows.where("x <> p").where(_may(F.col("n"), F.col("at"), F.col("pn"), F.col("pat"), percent)).select("p", "pn", "x", "n").distinct()
 
 
 def _across(rows: DataFrame, done: DataFrame, seen: DataFrame, percent: int) -> DataFrame:

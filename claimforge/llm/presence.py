@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimforge.llm.common import give_back
+
 #: Bits of one slice of a filter: slices travel and are joined apart.
 SLICE_BITS = 20
 #: Bits of a filter of row ids: it has this size whatever the table's; beyond it, it only spares less.
@@ -69,6 +71,8 @@ def bit_filter(values: DataFrame, bits: int, least: int = 1) -> np.ndarray:
         cut = {i: once[i * size : (i + 1) * size] for i in range(slices)}
         cut = {i: x for i, x in cut.items() if x.any()}
         yield batch_of(cut, {i: twice[i * size : (i + 1) * size] for i in cut})
+        del once, twice, cut
+        give_back()
 
     def merge(batches):
         once, twice = {}, {}
