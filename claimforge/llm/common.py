@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -44,3 +45,27 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+#: Rows that Python workers are given at a time where the session doesn't say: texts may be long.
+TEXTS_AT_A_TIME = 1000
+
+
+def few_texts(spark: SparkSession) -> None:
+    """From now on this session hands Python workers ``TEXTS_AT_A_TIME`` rows at most, if it has no limit of its own.
+
+    For queries and stages whose result is read later, outside of ``arrow_batches``.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(TEXTS_AT_A_TIME))
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a worker that waits for its next task holds only what it needs."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

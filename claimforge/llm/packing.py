@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import parts_for
+from claimforge.llm.common import arrow_batches, give_back, parts_for
 from claimforge.operators.storage import materialize
 
 SEQUENCE_TOKENS = 2048
@@ -21,7 +21,9 @@ SEPARATOR_ID = 0
 #: Pieces that one task packs together, at about; a group leaves at most about one sequence half full.
 GROUP_PIECES = 50_000
 #: Entries of a worker's cache of encoded words before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
+#: Texts that a worker is given at a time.
+BATCH_TEXTS = 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -125,6 +127,8 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str | None = None, id_col: str
                         col.append(x)
                     start, piece, end = end, piece + 1, end + most
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        del encoder
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(pieces, PIECES)
 
@@ -208,7 +212,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     Null or empty text is the separator alone, one token. A null id stays null; repeated rows are packed each; ties in
     length keep the order of id and piece; an empty table gives no rows. Further columns are ignored.
     """
-    pieces = materialize(tokenized_pieces(docs, vocabulary, id_col, text_col, most), "pieces")
+    with arrow_batches(docs.sparkSession, BATCH_TEXTS):
+        pieces = materialize(tokenized_pieces(docs, vocabulary, id_col, text_col, most), "pieces")
     groups = parts_for(pieces.count(), group_pieces)
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 

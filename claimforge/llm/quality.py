@@ -14,11 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimforge.llm.common import give_back
+
 #: Documents that the scorer is trained on, at most about: a bounded sample by hash of the text. Votes and
 #: accuracies are counted over all documents.
 TRAIN_ROWS = 20_000
 FEATURE_BITS = 16
 EPOCHS = 6
+#: Words whose weights a worker keeps.
+WORDS_KEPT = 100_000
 #: A document is rejected when the scorer holds it for good with less than this.
 THRESHOLD = 0.5
 
@@ -141,12 +145,15 @@ def _word_scale(n: int) -> float:
     return 0.3 / max(1, n) ** 0.5
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features: words (A-Z lower-cased, weighted down by the root of their number), and steps of the measures."""
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashed features: word slots and how often each occurs, slots of the measures' steps, and the number of words.
+
+    Words are A-Z lower-cased and weighted down by the root of their number; slots and counts are 16 bits wide.
+    """
     words = (text or "").encode().lower().split()
-    steps = _steps(measures(text or ""))
-    ids = np.array([*map(_slot, words), *(_slot(b"\x00" + s.encode()) for s in steps)], np.int64)
-    return ids, np.concatenate([np.full(len(words), _word_scale(len(words))), np.ones(len(steps))])
+    slots, counts = np.unique(np.fromiter(map(_slot, words), np.uint16, len(words)), return_counts=True)
+    steps = np.array([_slot(b"\x00" + s.encode()) for s in _steps(measures(text or ""))], np.uint16)
+    return slots, np.minimum(counts, 0xFFFF).astype(np.uint16), steps, len(words)
 
 
 class _Weights(dict):
@@ -156,7 +163,7 @@ class _Weights(dict):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > WORDS_KEPT:
             self.clear()
         weight = self[word] = float(self.weights[_slot(word)])
         return weight
@@ -180,26 +187,23 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), said, self.model.posteriors.get(said, self.model.share)
 
 
-def train(rows: list[tuple[str, float]], seed: int = 5) -> np.ndarray:
-    """Logistic regression on soft labels by seeded AdaGrad steps."""
+def train(rows: list[tuple[tuple, float]], seed: int = 5) -> np.ndarray:
+    """Logistic regression on soft labels by seeded AdaGrad steps, from rows (features, label)."""
     weights, seen = np.zeros(1 << FEATURE_BITS), np.full(1 << FEATURE_BITS, 1e-6)
-    made = [(features(text), y) for text, y in rows]
     order = np.random.default_rng(seed)
     for _ in range(EPOCHS):
-        for i in order.permutation(len(made)):
-            (ids, values), y = made[i]
-            error = 1 / (1 + np.exp(-np.clip((weights[ids] * values).sum(), -30, 30))) - y
-            grad = error * values
-            np.add.at(seen, ids, grad**2)
-            np.add.at(weights, ids, -0.2 * grad / np.sqrt(seen[ids]))
+        for i in order.permutation(len(rows)):
+            (slots, counts, steps, n), y = rows[i]
+            scale = _word_scale(n) * counts
+            total = weights[slots] @ scale + weights[steps].sum()
+            error = 1 / (1 + np.exp(-np.clip(total, -30, 30))) - y
+            for at, grad in ((slots, error * scale), (steps, np.full(len(steps), error))):
+                if len(at):
+                    seen[at] += grad**2
+                    weights[at] -= 0.2 * grad / np.sqrt(seen[at])
     return weights
 
 
-def decided(score: float, label: float, threshold: float) -> bool:
-    """Kept when the mean of scorer and votes says good: neither alone rejects what the other is sure of."""
-    return (score + label) / 2 >= threshold
-
-
 def with_votes(text_col: str = "text") -> Column:
     """The vote pattern of a text column."""
 
@@ -220,29 +224,49 @@ class QualityModel:
     weights: np.ndarray
 
 
+FEATURED = "mark long, said string, n int, slots binary, counts binary, steps binary"
+
+
+def _featured(batches):
+    """Features of a sample's texts, made where the texts are."""
+    for batch in batches:
+        made = [(votes(t), *features(t)) for t in (x.as_py() for x in batch.column(1))]
+        cols = [[m[0] for m in made], [m[4] for m in made], *([m[i].tobytes() for m in made] for i in (1, 2, 3))]
+        types = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [x.split(" ")[0] for x in FEATURED.split(", ")])
+    give_back()
+
+
 def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Fit on ``docs``: votes are counted over all of them, the scorer sees about ``train_rows``.
 
     The counts are at most 3 to the number of labellers rows. The sample is chosen by a hash of the
-    text, so it is the same however the table lies; copies of a text are in it or out together and count once.
+    text, so it is the same however the table lies; copies of a text are in it or out together and count once. Never more
+    than ``2 * train_rows`` are taken, those of the smallest hashes. What comes to the driver is their hashed features,
+    at most 256 KB each however long the text; null texts are not in the sample, and an empty table gives a model that holds
+    everything for good or bad by the votes' prior alone.
     """
     text = F.col(text_col)
     counted = {r["v"]: r["n"] for r in docs.select(with_votes(text_col).alias("v")).groupBy("v").agg(F.count("*").alias("n")).collect()}
     right, share, posterior = estimate_accuracies(counted)
     total = sum(counted.values())
     part = min(1.0, train_rows / max(1, total))
-    sample = docs.select(text.alias("t")).where(text.isNotNull()).where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.lit(int(part * 1_000_000) + 1)).distinct()
-    # Only the scorer's features of the sample matter, but texts are few: a bounded number, whole.
-    rows = sorted(r["t"] for r in sample.limit(2 * train_rows).toLocalIterator())
-    weights = train([(t, posterior[votes(t)]) for t in rows])
+    mark = F.xxhash64("t")
+    sample = docs.select(text.alias("t")).where(text.isNotNull()).where(F.pmod(mark, F.lit(1_000_000)) < F.lit(int(part * 1_000_000) + 1))
+    made = sample.select(mark.alias("mark"), "t").mapInArrow(_featured, FEATURED).dropDuplicates(["mark"])
+    table = made.orderBy("mark").limit(2 * train_rows).toArrow()
+    packed = lambda x: np.frombuffer(x, np.uint16)
+    rows = [((packed(r["slots"]), packed(r["counts"]), packed(r["steps"]), r["n"]), posterior[r["said"]]) for batch in table.to_batches(1000) for r in batch.to_pylist()]
+    weights = train(rows)
+    del rows, table
+    give_back()
     return QualityModel(right, share, posterior, weights)
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, votes, label, keep): the scorer's P(good), the posterior of the votes, and the decision.
 
-    A document is kept when the mean of both says good: the votes alone decide nothing that the
-    words speak against. Null, empty and blank texts are rejected with score 0. A null id stays null; repeated
+    The scorer decides; the posterior is what it learnt from and is returned beside it. Null, empty and blank texts are rejected with score 0. A null id stays null; repeated
     rows get the same score each; an empty table gives no rows. Further columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -250,21 +274,27 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     def scored(batches):
         scorer = Scorer(held.value)
         for batch in batches:
-            scores, said, labels = zip(*map(scorer, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ([], [], [])
-            keep = [decided(s, p, threshold) for s, p in zip(scores, labels, strict=True)]
+            scores, said, labels = zip(*(scorer(x.as_py()) for x in batch.column(1)), strict=True) if batch.num_rows else ([], [], [])
+            keep = [s >= threshold for s in scores]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(said, pa.string()), pa.array(labels, pa.float64()), pa.array(keep, pa.bool_())], ["doc_id", "score", "votes", "label", "keep"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(scored, "doc_id long, score double, votes string, label double, keep boolean")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns, judged where they lie."""
+    """The rows of ``docs`` that the classifier keeps, with all their columns, judged where they lie.
+
+    Null, empty and blank texts go. Null ids, ties and repeated rows don't matter: each row is judged by its text alone. An empty
+    table stays empty.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def good(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(held.value)
         for texts in parts:
-            yield pd.Series([decided(s, p, threshold) for s, _, p in map(scorer, texts)], dtype=bool)
+            yield pd.Series([s >= threshold for s, _, _ in map(scorer, texts)], dtype=bool)
+        give_back()
 
     return docs.where(good(F.col(text_col)))

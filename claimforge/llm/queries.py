@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import table
+from claimforge.llm.common import few_texts, table
 from claimforge.llm.cuckoo import exact_groups
 from claimforge.llm.jaccard import similar_groups
 from claimforge.llm.knn import nearest
@@ -56,6 +56,7 @@ def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_texts(spark)
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs))
 
