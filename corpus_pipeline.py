@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimforge.llm.common import table
+from claimforge.llm.common import few_texts, table
 from claimforge.llm.cuckoo import exact_dedup
 from claimforge.llm.jaccard import keep_one_of_group
 from claimforge.llm.mixing import mixed_documents
@@ -23,6 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier, fitted on these documents, holds for good."""
+    few_texts(spark)
     return keep_good(docs, fit(docs)).select(COLUMNS)
 
 
