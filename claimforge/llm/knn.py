@@ -23,7 +23,20 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes of each row, their scale, and the length of what the codes leave out."""
     scale = np.abs(x).max(axis=1) / 127.0
     codes = np.rint(x / scale[:, None]).astype(np.int8)
-    return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
+    return codes, scale, lengths(x - codes * scale[:, None])
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of rows; squares that would overflow or vanish are reckoned after scaling."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        squares = (x**2).sum(axis=1)
+        out = np.sqrt(squares)
+        odd = ~((squares > 1e-290) & (squares < 1e300))
+        if odd.any():
+            most = np.abs(x[odd]).max(axis=1)
+            safe = np.where(most > 0, most, 1.0)
+            out[odd] = most * np.sqrt(((x[odd] / safe[:, None]) ** 2).sum(axis=1))
+    return out
 
 
 def _usable(ids, lists) -> dict[int, list]:
@@ -45,7 +58,7 @@ def blocks(vectors: DataFrame, id_col: str, vec_col: str, rows: int) -> DataFram
         def block(dim, held):
             ids, x = np.array([i for i, _ in held], np.int64), np.stack([v for _, v in held])
             codes, scale, error = quantised(x)
-            return dim, len(ids), ids.tobytes(), x.tobytes(), codes.tobytes(), scale.tobytes(), error.tobytes(), np.linalg.norm(x, axis=1).tobytes()
+            return dim, len(ids), ids.tobytes(), x.tobytes(), codes.tobytes(), scale.tobytes(), error.tobytes(), lengths(x).tobytes()
 
         waiting: dict[int, list] = {}
         for batch in batches:
@@ -82,13 +95,16 @@ def tile(q: _Block, c: _Block, k: int) -> list[tuple[int, int, float]]:
     The product of the codes is exact in single precision (up to 1,000 dimensions; beyond, in double). It
     differs from the product of the vectors by at most |q||e_c| + |e_q||c| + |e_q||e_c|, so every
     distance has a lower and an upper bound. What lies above the k-th smallest upper bound is out; the rest is
-    reckoned from the original vectors.
+    reckoned from the original vectors. Bounds are reckoned in units of the blocks' largest norm, so they neither
+    overflow nor turn into no number.
     """
+    unit = max(q.norm.max(), c.norm.max())
+    qs, qe, qn, cs, ce, cn = (v / unit for v in (q.scale, q.error, q.norm, c.scale, c.error, c.norm))
     kind = np.float32 if q.codes.shape[1] <= 1000 else np.float64
-    product = (q.codes.astype(kind) @ c.codes.astype(kind).T).astype(np.float64) * q.scale[:, None] * c.scale[None, :]
-    slack = (q.norm + q.error)[:, None] * c.error[None, :] + q.error[:, None] * (c.norm + c.error)[None, :]
-    middle = (q.norm**2)[:, None] + (c.norm**2)[None, :] - 2 * product
-    slack = 2 * slack + 1e-9 * ((q.norm**2)[:, None] + (c.norm**2)[None, :])
+    product = (q.codes.astype(kind) @ c.codes.astype(kind).T).astype(np.float64) * qs[:, None] * cs[None, :]
+    slack = (qn + qe)[:, None] * ce[None, :] + qe[:, None] * (cn + ce)[None, :]
+    middle = (qn**2)[:, None] + (cn**2)[None, :] - 2 * product
+    slack = 2 * slack + 1e-9 * ((qn**2)[:, None] + (cn**2)[None, :])
     own = q.ids[:, None] == c.ids[None, :]
     upper = np.where(own, np.inf, middle + slack)
     most = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(q.ids), np.inf)
@@ -96,7 +112,7 @@ def tile(q: _Block, c: _Block, k: int) -> list[tuple[int, int, float]]:
     for i, row in enumerate((middle - slack <= most[:, None]) & ~own):
         at = np.flatnonzero(row)
         if len(at):
-            far = np.sqrt(((c.x[at] - q.x[i]) ** 2).sum(axis=1))
+            far = lengths(c.x[at] - q.x[i])
             best = np.lexsort((c.ids[at], far))[:k]
             out += [(int(q.ids[i]), int(c.ids[at[b]]), float(far[b])) for b in best]
     return out
@@ -112,11 +128,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
 
     Null ids, null, empty or zero vectors and those with null or non-finite components take no part; vectors of another
     length than the query's are no candidates. Ties go to the smaller id. Rows that repeat an id are each a
-    candidate, but none for a query of that id; a repeated query is answered once. Fewer than ``k`` candidates
+    candidate, but none for a query of that id; a repeated query is answered once, for its smallest
+    usable vector. Fewer than ``k`` candidates
     give fewer rows, an empty table none. Further columns are ignored.
     """
+    vec = F.col(vec_col)
+    whole = F.forall(vec, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
+    usable = queries.where(F.col(id_col).isNotNull() & vec.isNotNull() & whole & F.exists(vec, lambda e: e != 0))
+    # A repeated query asks with its smallest usable vector.
+    queries = usable.groupBy(F.col(id_col)).agg(F.min(vec_col).alias(vec_col))
     candidates = materialize(blocks(vectors, id_col, vec_col, BLOCK_ROWS), "knn-blocks")
-    asked = materialize(blocks(queries.repartition(max(1, -(-queries.count() // QUERY_ROWS))).dropDuplicates([id_col]), id_col, vec_col, QUERY_ROWS), "knn-queries")
+    asked = materialize(blocks(queries.repartition(max(1, -(-queries.count() // QUERY_ROWS))), id_col, vec_col, QUERY_ROWS), "knn-queries")
     left = asked.select("dim", *(F.col(c).alias(f"q_{c}") for c in asked.columns if c != "dim"))
     tiles = candidates.crossJoin(left.withColumnRenamed("dim", "q_dim")).where("dim = q_dim")
 

@@ -1,3 +1,4 @@
+import math
 import re
 
 import duckdb
@@ -32,6 +33,20 @@ def test_nearest_is_exact(spark, k):
     assert knn.nearest(none, none).count() == 0
 
 
+def test_nearest_of_repeated_queries_and_extreme_vectors(spark):
+    rows = [(1, None), (1, [1.0, 0.0]), (1, [float("nan"), 0.0]), (2, [1e200, 0.0]), (3, [0.0, 1e200]), (4, [1.5, 0.0]), (5, [1e-200, 0.0]), (6, [3e-200, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in sorted(knn.nearest(table, table, k=2).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    good = {i: v for i, v in rows if v and not any(x != x for x in v)}
+    assert got.keys() == good.keys()
+    for i, v in good.items():
+        far = sorted((math.dist(v, w), j) for j, w in good.items() if j != i)[:2]
+        assert [j for j, _ in got[i]] == [j for _, j in far]
+        assert all(math.isclose(s, d, rel_tol=1e-12) for (_, s), (d, _) in zip(got[i], far, strict=True))
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0], 0, 0.0), (100, [4.0], 0, 0.0), (1, [2.0], 0, 0.0)], VECTORS)
     assert sorted(tuple(r) for r in knn.nearest(df, df.where("vec_id % 100 = 0")).collect()) == [(0, 1, 1, 1.0), (0, 2, 100, 3.0), (100, 1, 1, 2.0), (100, 2, 0, 3.0)]
