@@ -127,12 +127,15 @@ def compile_field(schema: T.StructType, spec: FieldSpec, config: Config) -> Comp
     return Compiled(spec, out.value, out.type, placed, wrong)
 
 
-def validated(c: Compiled) -> Column:
-    """The schema violation of a placed or absent field, or null."""
-    absent = ~c.placed | c.value.isNull()
+def validated(spec: FieldSpec, same_path: list[Compiled]) -> Column:
+    """The schema violation of a field, or null, judged on what the view holds at its path: the value placed there last."""
     none = F.lit(None).cast(VIOLATION)
-    required = F.when(absent, _violation(c.spec.path, "missing_required", None)) if c.spec.required else F.when(absent, none)
-    return required.otherwise(none if type_ok(c.type, c.spec.type) else _violation(c.spec.path, "type_mismatch", c.spec.type))
+    absent = _violation(spec.path, "missing_required", None) if spec.required else none
+    out = absent
+    for c in same_path:
+        held = none if type_ok(c.type, spec.type) else _violation(spec.path, "type_mismatch", spec.type)
+        out = F.when(c.placed, F.when(c.value.isNull(), absent).otherwise(held)).otherwise(out)
+    return out
 
 
 def project(profiles: DataFrame, config: Config, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -170,7 +173,8 @@ def project(profiles: DataFrame, config: Config, keep: tuple[str, ...] = ()) ->
         entry = [F.when(_any(c.placed for c in cs), F.struct(F.lit(path).alias("k"), F.coalesce(*(F.when(c.placed, F.struct(make(c).alias("v"))) for c in reversed(cs)))["v"].alias("v"))) for path, cs in placed]
         return F.to_variant_object(F.map_from_entries(F.array_compact(F.array(*entry))))
 
-    wrong = F.array_compact(F.array(*(c.violation for c in fields), *(validated(last[c.spec.path]) if c is last[c.spec.path] else validated(c) for c in fields)))
+    shared = {path: [c for c in fields if c.spec.path == path] for path in last}
+    wrong = F.array_compact(F.array(*(c.violation for c in fields), *(validated(c.spec, shared[c.spec.path]) for c in fields)))
     return profiles.select(*keep, keyed(variant).alias("values"), (keyed(meta) if toggled else F.parse_json(F.lit("{}"))).alias("meta"), wrong.alias("violations"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 LOCATION = "struct<city:string,region:string,country:string>"
 LINKS = "struct<linkedin:string,github:string,portfolio:string,other:array<string>>"
 EXPERIENCE = "struct<company:string,title:string,start:string,end:string,summary:string>"
@@ -16,8 +18,20 @@ SOURCES = ("ats", "resume", "github", "notes")
 METHODS = ("direct_map", "structured_parse", "regex_prose", "ner")
 
 
+def _composed(value: object) -> object:
+    """Every string of a value in NFC, which no SQL function gives; ``raw`` keeps the source's own spelling."""
+    if isinstance(value, str):
+        return unicodedata.normalize("NFC", value)
+    if isinstance(value, dict):
+        return {k: _composed(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_composed(v) for v in value]
+    return value
+
+
 def claim(field: str, value: object, raw: str, source: str, method: str) -> dict:
-    """A claim as the extractors make it; the value's kind picks its column."""
+    """A claim as the extractors make it, composed; the value's kind picks its column."""
+    value = _composed(value)
     out = {"field": field, "source": source, "method": method, "raw": raw} | {n: None for n, _ in VALUES}
     if isinstance(value, dict):
         out[{"location": "v_loc", "links": "v_links", "experience": "v_exp", "education": "v_edu"}[field]] = value

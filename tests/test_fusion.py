@@ -139,6 +139,20 @@ def test_duplicate_paths_and_meta(profile):
     assert got == {"x": "a@x.io"} and set(meta) == {"x"} and [p["field"] for p in meta["x"]["provenance"]] == ["emails"] and meta["x"]["confidence"] > 0
 
 
+def test_specs_that_share_a_path_are_judged_on_the_view(profile):
+    # The number placed last stands in the view, for both specs.
+    got, _, wrong = view(profile, FieldSpec("x", "string", "full_name"), FieldSpec("x", "number", "overall_confidence"))
+    assert isinstance(got["x"], float) and wrong == [("x", "type_mismatch", "string")]
+    # A required field that finds nothing is there when a later spec places its path.
+    _, _, wrong = view(profile, FieldSpec("y", "string", "headline", required=True), FieldSpec("y", "string", "full_name"), on_missing=OnMissing.OMIT)
+    assert ("y", "missing_required", None) not in wrong
+
+
+def test_spellings_of_one_text_are_one_value(spark):
+    p = one(spark, say("full_name", "Jose\u0301 Diaz"), say("full_name", "Jos\u00e9 Diaz", "github"))
+    assert p["full_name"] == "Jos\u00e9 Diaz" and p["overall_confidence"] > 0.9  # they agree, so their confidences add up
+
+
 def test_default_view(profile):
     got, meta, wrong = view(profile)
     assert got["emails"] == ["a@x.io", "b@x.io"] and got["headline"] is None and "cluster_id" not in got and meta == {} and not wrong
