@@ -301,10 +301,13 @@ def _grouped_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
 
 
 def _with_pivots(rows: DataFrame) -> DataFrame:
-    """(gram, x, n, at, p, pn, pat): the rows of every bucket of several with its pivot, the class of the most common prefix."""
+    """(gram, x, n, at, p, pn, pat, more): the rows of every bucket of several with its pivot, the class of the most common prefix.
+
+    ``more`` tells whether there are others beside the pivot and one member.
+    """
     pivot = F.max(F.struct("central", "x", "n", "at")).alias("pivot")
     pivots = rows.groupBy("gram").agg(F.count("*").alias("members"), pivot).where("members > 1")
-    pivots = pivots.select("gram", F.col("pivot.x").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat"))
+    pivots = pivots.select("gram", (F.col("members") > 2).alias("more"), F.col("pivot.x").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat"))
     return rows.drop("central").join(pivots, "gram")
 
 
@@ -316,11 +319,11 @@ def _stars(rows: DataFrame, percent: int) -> DataFrame:
 def _across(rows: DataFrame, done: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
     """Pairs (p, pn, x, n) of different components that share an n-gram at places that allow a link, but those ``seen``.
 
-    Members of a bucket that agree in size and place are one cell. Cells are paired in bands of lengths, then a cell's
+    A bucket of two is one pair, its member's and its pivot's. Members of a bucket that agree in size and place are one cell. Cells are paired in bands of lengths, then a cell's
     components, then their members; so a large component, or many members alike, cost as much as one until
     they meet somebody they might be linked with.
     """
-    known = rows.select("gram", "x", "n", "at").join(done.select(F.col("node").alias("x"), "component"), "x", "left")
+    known = rows.where("more").select("gram", "x", "n", "at").join(done.select(F.col("node").alias("x"), "component"), "x", "left")
     known = known.withColumn("comp", F.coalesce("component", "x")).drop("component")
     mixed = known.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
     held = materialize(known.join(mixed, "gram", "left_semi"), "gram-mixed")
