@@ -5,7 +5,8 @@ first, fall into fragments. Which pairs are worth counting is told by the first
 sets can be linked only if the first n-gram that they share lies early enough in both. No bucket of sets
 that share an n-gram is expanded into pairs. Its members are first held against one pivot; then only members of
 different components whose sizes and places leave room for a link are paired, and these are found by cells of
-equal size and place, not member by member. Every link comes from a pair whose partial overlaps were summed.
+equal size and place, not member by member. Pairs whose parity bits differ too much for a link are not counted.
+Every link comes from a pair whose partial overlaps were summed.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SLICE_BITS = 18
 FRAGMENTS = 3
 #: Bits of the filter that spares n-grams of one prefix the shuffle; beyond its size it only spares less.
 SHARED_BITS = 27
+#: Longs of 64 parity bits that stand for a set when a pair is weighed before its sets are fetched.
+PARITIES = 8
 #: Words whose hashes a worker keeps.
 WORDS_KEPT = 60_000
 #: Texts that a worker is given at a time.
@@ -131,25 +134,36 @@ def _signature(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """Bits that tell of each of ``64 * PARITIES`` slots whether an odd number of the n-grams fall in it."""
+    odd = np.bincount((grams & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+#: The columns that hold them.
+BITS = [f"bits{i}" for i in range(PARITIES)]
+
+
 def _class(sig: Column) -> Column:
     """The number that stands for a class among candidates: half of its signature, as long as an n-gram's hash."""
     return F.conv(F.hex(F.substring(sig, 1, 8)), 16, -10).cast("long")
 
 
 def gram_sets(docs: DataFrame, sketch, id_col: str, text_col: str, k: int, percent: int, key: Column | None = None) -> DataFrame:
-    """(doc_id, n, sig, central, prefix) of every row; the prefix is what one of two similar sets must share.
+    """(doc_id, n, sig, central, prefix, bits0, ...) of every row; the prefix is what one of two similar sets must share.
 
     The prefix is in the global order: a place in it is the n-gram's place in the whole set. With ``key`` (binary) the
     rows carry it as a last column.
     """
-    schema = "doc_id long, n long, sig binary, central double, prefix array<long>"
+    schema = "doc_id long, n long, sig binary, central double, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS)
 
     def made(batches):
         grams, counts = _shingler(k), sketch.value
         for batch in batches:
-            ids, ns, sigs, centrals, prefixes = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, ns, sigs, centrals, prefixes, bits = [], [], [], [], [], np.zeros((batch.num_rows, PARITIES), np.int64)
+            for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 g = grams(text.as_py())
+                bits[row] = _parities(g)
                 c = counts[_slot(g)]
                 order = np.lexsort((g, c))[: len(g) - -(-percent * len(g) // 100) + 1] if len(g) else []
                 ids.append(doc)
@@ -158,8 +172,8 @@ def gram_sets(docs: DataFrame, sketch, id_col: str, text_col: str, k: int, perce
                 centrals.append(float(np.log2(c[order] + 1.0).mean()) if len(g) else 0.0)
                 prefixes.append(g[order].view(np.int64) if len(g) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(centrals, pa.float64()), pa.array(prefixes, pa.list_(pa.int64())), *batch.columns[2:]],
-                ["doc_id", "n", "sig", "central", "prefix", *batch.schema.names[2:]],
+                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(centrals, pa.float64()), pa.array(prefixes, pa.list_(pa.int64())), *map(pa.array, bits.T.copy()), *batch.columns[2:]],
+                ["doc_id", "n", "sig", "central", "prefix", *BITS, *batch.schema.names[2:]],
             )
         give_back()
 
@@ -236,6 +250,18 @@ def _may(n: Column, at: Column, m: Column, other: Column, percent: int) -> Colum
     return ((n.cast("long") - at) * (100 + percent) >= needed) & ((m.cast("long") - other) * (100 + percent) >= needed)
 
 
+def _within(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` whose sets' parity bits leave room for a link.
+
+    Every n-gram that only one of two sets has flips one bit, so two sets differ by at least as many n-grams as bits.
+    No link is lost, and sets that merely share some n-grams need not be fetched.
+    """
+    own = [classes.select(F.col("class").alias(end), *(F.col(b).alias(end + b) for b in BITS)) for end in "px"]
+    flips = sum((F.bit_count(F.col("p" + b).bitwiseXOR(F.col("x" + b))) for b in BITS), F.lit(0))
+    met = pairs.join(own[0], "p").join(own[1], "x")
+    return met.where(flips * (100 + percent) <= (F.col("pn").cast("long") + F.col("n")) * (100 - percent)).select("p", "pn", "x", "n")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: groups by links of ``100 * overlap >= percent * union``.
 
@@ -259,12 +285,13 @@ def _grouped_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
         cuts, sketch = fragment_cuts(counts), spark.sparkContext.broadcast(counts)
         made = materialize(gram_sets(docs, sketch, id_col, text_col, k, percent, key), "gram-sets")
         found = materialize(prefix_rows(made), "gram-rows")
-        sets = materialize(made.drop("prefix", "central"), "gram-ids")
+        sets = materialize(made.drop("prefix", "central", *BITS), "gram-ids")
+        classes = made.where("sig is not null").groupBy("sig").agg(F.count("*").alias("members"), F.min("doc_id").alias("rep"), *(F.first(b).alias(b) for b in BITS))
+        classes = materialize(classes.withColumn("class", _class(F.col("sig"))), "gram-classes")
         release(made)
         # What the filter let through of n-grams that one class alone has goes here.
         rows = materialize(_with_pivots(found), "gram-buckets")
         release(found)
-        classes = materialize(sets.where("sig is not null").groupBy("sig").agg(F.count("*").alias("members"), F.min("doc_id").alias("rep")).withColumn("class", _class(F.col("sig"))), "gram-classes")
 
         def linked(pairs: DataFrame) -> DataFrame:
             """The pairs that are linked, by fragments cut from the text of one document of each class."""
@@ -280,9 +307,10 @@ def _grouped_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
             return links
 
         stars = materialize(_stars(rows, percent), "gram-stars")
-        links = linked(stars)
+        near = materialize(_within(stars, classes, percent), "gram-near")
+        links = linked(near)
         done = materialize(connected_components(links), "gram-components")
-        pairs = materialize(_across(rows, done, stars, percent), "gram-pairs")
+        pairs = materialize(_within(_across(rows, done, stars, percent), classes, percent), "gram-pairs")
         if not pairs.isEmpty():
             more = linked(pairs)
             if not more.isEmpty():
@@ -290,7 +318,7 @@ def _grouped_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
                 joined = more.unionByName(done.select(F.col("node").alias("a"), F.col("component").alias("b")))
                 done = materialize(connected_components(joined), "gram-components")
             release(more)
-        release(rows, stars, links, pairs)
+        release(rows, stars, near, links, pairs)
         sketch.destroy()
     components = done.select(F.col("node").alias("class"), "component")
     named = classes.join(components, "class", "left").withColumn("component", F.coalesce("component", "class"))

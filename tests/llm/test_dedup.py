@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from claimforge.llm import cuckoo
@@ -154,3 +155,21 @@ def test_hashes_stand_for_shingles():
     s = J.Shingler(3)
     assert len(s("a b c a b c")) == 3 and len(s("a b")) == 1 and not len(s(" \n")) and not len(s(None))
     assert (s("A b\x0bC") == s("a B c")).all() and s("a b")[0] != s("b a")[0] and len(s("a\xa0b")) == 1
+
+
+def test_parity_bits_never_exceed_the_difference(spark):
+    """A pair is passed over only where its sets differ by more n-grams than a link allows."""
+    rng, sets = np.random.default_rng(5), []
+    for n in (1, 2, 5, 40, 700, 5000):
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        sets += [np.unique(np.concatenate([base[cut:], rng.integers(0, 1 << 63, cut, np.uint64)])) for cut in {0, 1, n // 20, n // 8, n // 2}]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    for i, j in pairs:
+        flips = int(np.unpackbits((J._parities(sets[i]) ^ J._parities(sets[j])).view(np.uint8)).sum())
+        assert flips <= len(np.setxor1d(sets[i], sets[j]))
+    classes = spark.createDataFrame([(i, *J._parities(g).tolist()) for i, g in enumerate(sets)], ", ".join(f"{c} long" for c in ["class", *J.BITS]))
+    rows = spark.createDataFrame([(i, len(sets[i]), j, len(sets[j])) for i, j in pairs], "p long, pn int, x long, n int")
+    for percent in (80, 90):
+        left = {(r["p"], r["x"]) for r in J._within(rows, classes, percent).collect()}
+        linked = {(i, j) for i, j in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
+        assert linked <= left and len(left) < len(pairs) // 2
